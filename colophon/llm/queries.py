@@ -6,20 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
+from .packing import pack_documents
+from .token_index import round_trip
 from .url_filter import RULES, judge_urls
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer is, on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents"))
 
 
+def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op5_packing": op5_packing,
     "op8_license_scan": op8_license_scan,
+    "op10_token_index": op10_token_index,
 }
 
 
