@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .language import identify_languages
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -31,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
+    "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op10_token_index": op10_token_index,
 }
