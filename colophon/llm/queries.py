@@ -10,6 +10,7 @@ from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .token_index import round_trip
+from .toxicity import judge_toxicity
 from .url_filter import RULES, judge_urls
 
 
@@ -28,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -47,6 +52,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
