@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontaminate import contamination
 from .language import identify_languages
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
 from .packing import pack_documents
@@ -37,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op10_token_index": op10_token_index,
