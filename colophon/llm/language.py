@@ -229,3 +229,18 @@ def label_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
 def identify_languages(documents: DataFrame) -> DataFrame:
     """Train on the documents that are not held out and label all: doc_id, held_out, lang_pred, score, spans."""
     return label_languages(documents, train(documents)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
+def in_known_language(documents: DataFrame, model: LanguageModel, least_score: float = 0.0) -> DataFrame:
+    """The documents, all columns, that are not ``und`` and score ``least_score`` or more. Nothing is shuffled."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.label(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([f[0] != "und" and f[1] >= least_score for f in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

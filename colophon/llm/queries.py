@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .decontaminate import contamination
+from .edit_fingerprint import fingerprint_documents
 from .language import identify_languages
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
 from .packing import pack_documents
@@ -50,6 +51,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
+    "op9_fingerprint": op9_fingerprint,
     "op10_token_index": op10_token_index,
 }
 

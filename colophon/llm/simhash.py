@@ -188,3 +188,16 @@ def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
     smallest = reached.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = reached.join(smallest, "component").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents, all columns, whose doc_id is the smallest of its component.
+
+    Rows that repeat such a doc_id stay one; a null doc_id stays.
+    """
+    found = near_duplicates(documents, words)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    once = documents.where("doc_id is not null")
+    if not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        once = once.dropDuplicates(["doc_id"])
+    return once.join(kept, "doc_id", "left_semi").select(documents.columns).union(documents.where("doc_id is null"))

@@ -199,3 +199,16 @@ def judge_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Train and score: doc_id, held_out, score, predicted, evidence of all documents."""
     scored = score_documents(documents, train(documents, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, that score below ``threshold``. Nothing is shuffled."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
