@@ -10,6 +10,7 @@ from .edit_fingerprint import fingerprint_documents
 from .language import identify_languages
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
 from .packing import pack_documents
+from .quotation import reply_ordered
 from .simhash import near_duplicates
 from .token_index import round_trip
 from .toxicity import judge_toxicity
@@ -35,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(read(spark, sf_dir, "conversations"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_quotation": op4_quotation,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
@@ -163,5 +169,35 @@ def _licence_sql() -> str:
     {" union all ".join(rows)}"""
 
 
+def _quotation_sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    mark = r"'^[ \t]*((?:>[ \t]?)*)'"
+    level = f"length(regexp_extract({{0}}, {mark}, 1)) - length(replace(regexp_extract({{0}}, {mark}, 1), '>', ''))"
+    normal = r"trim(regexp_replace(" + lower.format(f"regexp_replace(raw, {mark}, '')") + r", '[ \t\r\n\x0B\f]+', ' ', 'g'))"
+    return rf"""
+    with recursive
+    cut as (select conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') as lines from conversations),
+    raw as (select conv_id, turn, unnest(lines) as raw from cut where conv_id is not null and turn is not null),
+    passages as (select distinct conv_id, turn, {level.format("raw")} as level, sha256({normal}) as passage from raw where {normal} <> ''),
+    origins as (select conv_id, level, passage, min(turn) as origin from passages group by all),
+    votes as (
+      select p.conv_id, p.turn, p.level, o.origin, count(*) as passages
+      from passages p join origins o on p.conv_id = o.conv_id and p.level - 1 = o.level and p.passage = o.passage
+      where p.level > 0 and o.origin < p.turn group by all),
+    links as (
+      select conv_id, turn, origin as parent_turn
+      from (select *, row_number() over (partition by conv_id, turn order by level, passages desc, origin desc) as n from votes) where n = 1),
+    chains as (
+      select conv_id, turn, parent_turn as up, 1 as depth from links
+      union all select c.conv_id, c.turn, l.parent_turn, c.depth + 1 from chains c join links l on c.conv_id = l.conv_id and c.up = l.turn),
+    threads as (select conv_id, turn, min(up) as thread_turn, max(depth) as depth from chains group by all)
+    select c.conv_id, coalesce(t.thread_turn, c.turn) as thread_turn, c.turn, c.role, l.parent_turn, coalesce(t.depth, 0) as depth,
+           len(list_filter(lines, lambda x: {level.format("x")} > 0)) as n_quoted_lines,
+           list_max(list_transform(lines, lambda x: {level.format("x")})) as max_level,
+           trim(array_to_string(list_filter(lines, lambda x: {level.format("x")} = 0), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) as text
+    from cut c left join links l on c.conv_id = l.conv_id and c.turn = l.turn
+               left join threads t on c.conv_id = t.conv_id and c.turn = t.turn"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_sql(), "op8_license_scan": _licence_sql()}
+    return {"op1_url_filter": _url_sql(), "op4_quotation": _quotation_sql(), "op8_license_scan": _licence_sql()}
