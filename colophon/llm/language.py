@@ -47,12 +47,14 @@ SCRIPTS = (
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose rows a worker keeps.
-_CACHE = 200_000
+_CACHE = 400_000
 
 
 def script_of(word: str) -> str:
     """The script of a word's first letter; ``other`` outside the known ranges."""
     code = ord(word[0])
+    if 0x41 <= code <= 0x24F:
+        return "latin"
     return next((name for name, low, high in SCRIPTS if low <= code <= high), "other")
 
 
@@ -97,7 +99,11 @@ class LanguageModel:
         self.languages, self.scripts = languages, scripts
         logs, _ = self._logs(words)
         self.words = {w: self._posterior(row) for w, row in logs.items()}
-        self.trigrams, self.strange = self._logs(trigrams)
+        grams, strange = self._logs(trigrams)
+        #: Row 0 is for trigrams outside the table.
+        self.gram_ids = {g: i for i, g in enumerate(grams, 1)}
+        self.grams = np.concatenate((strange[None], *(row[None] for row in grams.values())))
+        self._fits, self._scorer = {}, None
 
     def _logs(self, counts: dict) -> tuple[dict, np.ndarray]:
         table = np.array(list(counts.values()), np.float64).reshape(-1, len(self.languages))
@@ -108,46 +114,79 @@ class LanguageModel:
         p = np.exp(logs - logs.max())
         return np.log(np.maximum(p / p.sum(), FLOOR)).astype(np.float32)
 
-    def row(self, word: str) -> np.ndarray:
-        """Log posterior of every language for a lower-case word.
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log posterior of every language for lower-case words.
 
-        Languages not written in its script are out; if none is, the word says nothing.
+        Languages not written in a word's script are out; if none is, the word says
+        nothing. Words outside the vocabulary are judged by their trigrams.
         """
-        script = script_of(word)
-        fits = np.array([script in self.scripts[x] for x in self.languages])
-        if not fits.any():
-            return np.zeros(len(self.languages), np.float32)
-        logs = self.words.get(word)
-        if logs is None:
-            padded = f" {word} "
-            logs = self._posterior(sum(self.trigrams.get(padded[i : i + 3], self.strange) for i in range(len(word))))
-        return np.where(fits, logs, np.float32(np.log(FLOOR)))
+        found = np.zeros((len(words), len(self.languages)), np.float32)
+        unseen, at, sizes = [], [], []
+        for i, word in enumerate(words):
+            known = self.words.get(word)
+            if known is not None:
+                found[i] = known
+            else:
+                padded = f" {word} "
+                unseen.append(i)
+                at += [self.gram_ids.get(padded[k : k + 3], 0) for k in range(len(word))]
+                sizes.append(len(word))
+        if unseen:
+            starts = np.cumsum(sizes) - sizes
+            sums = np.add.reduceat(self.grams[at], starts, 0)
+            p = np.exp(sums - sums.max(1, keepdims=True))
+            found[unseen] = np.log(np.maximum(p / p.sum(1, keepdims=True), FLOOR))
+        kinds = [self.fits(script_of(w)) for w in words]
+        fits = np.array(kinds, bool).reshape(found.shape)
+        found[~fits] = np.log(FLOOR)
+        found[~fits.any(1)] = 0
+        return found
+
+    def fits(self, script: str) -> tuple[bool, ...]:
+        """Which languages are written in a script."""
+        if script not in self._fits:
+            self._fits[script] = tuple(script in self.scripts[x] for x in self.languages)
+        return self._fits[script]
+
+    def scorer(self) -> Scorer:
+        """The worker's scorer, kept from task to task."""
+        if self._scorer is None:
+            self._scorer = Scorer(self)
+        return self._scorer
 
 
 class Scorer:
     """A model with the rows of words seen lately."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.ids, self.table = model, {}, np.empty((1024, len(model.languages)), np.float32)
-
-    def _id(self, word: str) -> int:
-        found = self.ids.get(word)
-        if found is None:
-            found = self.ids[word] = len(self.ids)
-            if found == len(self.table):
-                self.table = np.concatenate((self.table, np.empty_like(self.table)))
-            self.table[found] = self.model.row(word)
-        return found
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids, self.table = {}, np.empty((1 << 15, len(self.model.languages)), np.float32)
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """The main language, its score and the spans (from, to, language) of a text."""
-        words = _WORD.findall(text.lower()) if text else []
+    def _learn(self, words: set[str]) -> None:
+        if len(self.ids) > _CACHE:
+            self._forget()
+        new = [w for w in words if w not in self.ids]
+        first = len(self.ids)
+        while len(self.table) < first + len(new):
+            self.table = np.concatenate((self.table, np.empty_like(self.table)))
+        self.table[first : first + len(new)] = self.model.rows(new)
+        self.ids.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def labels(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
+        """The main language, its score and the spans (from, to, language) of every text."""
+        for at in range(0, len(texts), 200):
+            some = texts[at : at + 200]
+            words = [_WORD.findall(t.lower()) if t else [] for t in some]
+            self._learn(set().union(*words))
+            yield from map(self._label, some, words)
+
+    def _label(self, text: str | None, words: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
         if not words:
             return "und", 0.0, []
-        if len(self.ids) > _CACHE:
-            self.ids.clear()
-        at = np.fromiter(map(self._id, words), np.int64, len(words))
-        scores = self.table[at]
+        scores = self.table[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
         path = viterbi(scores)
         letters = np.fromiter(map(len, words), np.int64, len(words))
         weights = np.bincount(path, letters, len(self.model.languages))
@@ -217,9 +256,9 @@ def label_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer()
         for batch in batches:
-            found = [scorer.label(t.as_py()) for t in batch.column(1)]
+            found = list(scorer.labels(batch.column(1).to_pylist()))
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span)], names=["doc_id", "lang_pred", "score", "spans"])
 
@@ -238,9 +277,9 @@ def in_known_language(documents: DataFrame, model: LanguageModel, least_score: f
     shared, at = spark.sparkContext.broadcast(model), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer()
         for batch in batches:
-            found = [scorer.label(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([f[0] != "und" and f[1] >= least_score for f in found], pa.bool_()))
+            found = scorer.labels(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([name != "und" and score >= least_score for name, score, _ in found], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
