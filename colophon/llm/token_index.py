@@ -46,7 +46,7 @@ class WaveletMatrix:
             planes.append(np.pad(plane, (0, -len(plane) % (BLOCK // 8))))
             counts = np.bitwise_count(planes[-1].view(np.uint64)).reshape(-1, BLOCK // 64).sum(1)
             directory.append(np.concatenate(([0], np.cumsum(counts))).astype(np.uint32))
-            ids = np.concatenate((ids[~ones], ids[ones]))
+            ids = np.concatenate((ids.take(np.flatnonzero(~ones)), ids.take(np.flatnonzero(ones))))
             zeros.append(n - int(directory[-1][-1]))
         return cls(n, planes, zeros, directory)
 
@@ -132,7 +132,7 @@ class WaveletMatrix:
         for level in reversed(range(len(self.planes))):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(value)
-            above[~ones], above[ones] = value[: self.zeros[level]], value[self.zeros[level] :]
+            above[np.flatnonzero(~ones)], above[np.flatnonzero(ones)] = value[: self.zeros[level]], value[self.zeros[level] :]
             value = above | ones.astype(value.dtype) << value.dtype.type(len(self.planes) - 1 - level)
         return value
 
