@@ -58,6 +58,10 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _flipped(key):
+    return lambda x: key.bitwiseXOR(x.cast("long"))
+
+
 def chain_keys(fps: DataFrame) -> DataFrame:
     """(key, fp): where a pigeonring chain can begin.
 
@@ -76,7 +80,7 @@ def chain_keys(fps: DataFrame) -> DataFrame:
         key = F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(F.shiftleft(first, 16)).bitwiseOR(second)
         flips = F.array(*[F.lit(0)] + [F.lit(1 << b) for b in range(size)])
         odd = F.bit_count(second) % 2 == 1
-        keys.append(F.transform(F.when(odd, flips).otherwise(F.array(F.lit(0))), lambda x, key=key: key.bitwiseXOR(x.cast("long"))))
+        keys.append(F.transform(F.when(odd, flips).otherwise(F.array(F.lit(0))), _flipped(key)))
     return fps.select(F.explode(F.concat(*keys)).alias("key"), "fp")
 
 
