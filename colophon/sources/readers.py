@@ -39,7 +39,7 @@ def rename_table(spark: SparkSession, path: str) -> DataFrame:
 
 def paged_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, text): text files cut at lines ``--- page N ---``; a file without is page 0."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = F.split(F.regexp_replace("value", r"(?m)^--- page (\d+) ---[ \t]*\r?\n?", "\u0001$1\u0002"), "\u0001")
     page = F.when(F.instr("part", "\u0002") > 0, F.substring_index("part", "\u0002", 1).cast("int")).otherwise(0)
     text = F.when(F.instr("part", "\u0002") > 0, F.substring_index("part", "\u0002", -1)).otherwise(F.col("part"))
