@@ -9,8 +9,10 @@ from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import catalogue as C
 from ..operators import graph as G
+from ..operators import identity as I
 from ..operators import ledger as L
 from ..operators import search as S
+from ..operators import textstats as X
 from ..schema import table
 from .registry import query
 
@@ -326,3 +328,39 @@ def exact_dup_groups(spark, d):
 select doc_id, lang, strip_accents(lower(replace(substr(text, 1, 40), 'ß', 'ss'))) as folded from documents""")
 def fold_text(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", T.fold(F.substring("text", 1, 40)).alias("folded"))
+
+
+@query("""
+with p as (select doc_id // 40 as book, doc_id % 40 as page, case when doc_id % 40 between 5 and 30 and (doc_id // 40) % 3 > 0 then doc_id % 40 + 7 when doc_id % 40 > 34 then doc_id % 40 + 100 end as value from documents),
+i as (select *, value - page as shift, page - row_number() over (partition by book, value - page order by page) as island from p where value is not null)
+select book, page, value from (select *, count(*) over (partition by book, shift, island) as n from i) where n >= 8""")
+def folio_offsets(spark, d):
+    book, page = F.floor(F.col("doc_id") / 40), F.col("doc_id") % 40
+    number = F.when(page.between(5, 30) & (book % 3 > 0), page + 7).when(page > 34, page + 100)
+    text = F.concat_ws("\n", F.lit("A heading"), F.concat(F.lit("- "), number.cast("string"), F.lit(" -")), F.lit("some words that follow"))
+    return X.page_numbers(table(spark, d, "documents").select(book.alias("book"), page.alias("page"), text.alias("text")))
+
+
+@query(r"""
+with b as (select item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as wanted from benchmark),
+t as (select doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' as key from documents)
+select doc_id, item_id as work_id from t join b on contains(key, ' ' || wanted || ' ')""")
+def reference_match(spark, d):
+    works = table(spark, d, "benchmark").select(F.col("item_id").alias("work_id"), F.col("text").alias("title"), F.lit(1900).alias("year"))
+    return X.citation_matches(table(spark, d, "documents").select("doc_id", "text"), works).select("doc_id", "work_id")
+
+
+@query(r"""
+with o as (select p_partkey as obs_id, case when p_partkey % 17 = 0 then p_partkey end as target_id, p_name as title, p_brand as author, cast(p_size as int) as year from part where p_partkey % 2 = 0),
+k as (select trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) as t, trim(regexp_replace(lower(p_brand), '[^\p{L}\p{N}]+', ' ', 'g')) as a, cast(p_size as int) as year, p_partkey from part where p_partkey % 2 = 1),
+bt as (select t, min(p_partkey) as first from k group by 1), ba as (select t, a, year, min(p_partkey) as first, count(*) as n from k group by 1, 2, 3),
+j as (select o.*, bt.first as tf, ba.first as af, ba.n from o left join bt on bt.t = trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'))
+  left join ba on ba.t = trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) and ba.a = trim(regexp_replace(lower(author), '[^\p{L}\p{N}]+', ' ', 'g')) and ba.year = o.year)
+select obs_id, case when target_id is not null or n = 1 then 'attach' when tf is not null then 'candidate' else 'create' end as action,
+  case when target_id is not null then target_id when n = 1 then af when tf is not null then tf end as source_id,
+  case when target_id is not null then 'explicit_target' when n = 1 then 'medium_corroborated' when tf is not null then 'medium_uncorroborated' else 'new' end as decision from j""")
+def identity_ladder(spark, d):
+    part = table(spark, d, "part")
+    observed = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("obs_id"), F.when(F.col("p_partkey") % 17 == 0, F.col("p_partkey")).alias("target_id"), F.array().cast("array<string>").alias("ids"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").alias("year"))
+    sources = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").alias("year"), F.lit("active").alias("status"))
+    return I.resolve(observed, spark.createDataFrame([], "ident string, source_id long"), sources)
