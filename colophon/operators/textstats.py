@@ -19,7 +19,7 @@ def page_numbers(pages: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     same difference between number and page, and if no other such run numbers its page
     differently.
     """
-    lines = F.filter(F.transform(F.split("text", r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     edge = F.array_union(F.slice(lines, 1, EDGE_LINES), F.slice(F.reverse(lines), 1, EDGE_LINES))
     line = F.regexp_replace("line", r"^[-–—\[(\s]+|[-–—\])\s]+$", "")
     value = F.when(line.rlike(r"^\d{1,4}$"), line.try_cast("long")).otherwise(roman_value(line).cast("long"))
