@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import roman_value
+from ..functions.text import token_runs
 
 #: Lines at either end of a page that may hold its number, and pages that a run needs.
 EDGE_LINES, LEAST_RUN = 3, 8
@@ -65,9 +66,7 @@ def citation_matches(texts: DataFrame, catalogue: DataFrame, least_words: int =
     works = catalogue.select("work_id", "year", match_key(F.col("title")).alias("wanted"), words.alias("w")).where(F.size("w") >= least_words)
     works = works.withColumn("probe", F.array_join(F.slice("w", 1, probe_words), " ")).drop("w")
     split = texts.select("doc_id", match_key(F.col("text")).alias("key")).withColumn("w", F.split("key", " "))
-    at = F.sequence(F.lit(1), F.greatest(F.size("w") - probe_words + 1, F.lit(1)))
-    starts = F.transform(at, lambda i: F.array_join(F.slice("w", i, probe_words), " "))
-    runs = split.where(F.size("w") >= probe_words).select("doc_id", F.posexplode(starts).alias("i", "probe"))
+    runs = split.where(F.size("w") >= probe_words).select("doc_id", F.posexplode(token_runs(F.col("w"), probe_words)).alias("i", "probe"))
     hits = runs.join(works, "probe").join(split.select("doc_id", "w"), "doc_id")
     size = F.size(F.split("wanted", " "))
     whole = hits.where(F.array_join(F.slice("w", F.col("i") + 1, size), " ") == F.col("wanted"))
