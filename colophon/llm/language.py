@@ -184,7 +184,8 @@ class Scorer:
             yield from map(self._label, some, words)
 
     def _label(self, text: str | None, words: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
-        if not words:
+        # Fractions and the like are word characters, but no letters.
+        if not any(c.isalpha() for w in words for c in w):
             return "und", 0.0, []
         scores = self.table[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
         path = viterbi(scores)

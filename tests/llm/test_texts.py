@@ -217,14 +217,14 @@ def test_language_spans_and_held_out(spark):
     vocabulary = {"aa": "bal dor mip sun tek".split(), "bb": "zho qui vax wrr ybb".split(), "gr": "αλφα βητα γαμμα".split()}
     say = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
     rows = [(i, say(x, 20), x) for i, x in enumerate(["aa", "bb", "gr"] * 40)]
-    rows += [(1000, None, "aa"), (1001, "12 34 !", "bb"), (1002, say("aa", 30) + " " + say("bb", 30), None), (1003, "", "aa"), (1004, "неизвестно", None), (1004, say("gr", 3), None)]
+    rows += [(1000, None, "aa"), (1001, "12 34 !", "bb"), (1002, say("aa", 30) + " " + say("bb", 30), None), (1003, "", "aa"), (1005, "½ ² 7", "aa"), (1004, "неизвестно", None), (1004, say("gr", 3), None)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language.identify_languages(documents.withColumn("score", documents.doc_id)).collect()
     right = {(i, x) for i, t, x in rows[:120]}
     assert right <= {(r["doc_id"], r["lang_pred"]) for r in got}
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     by = {r["doc_id"]: r for r in got}
-    assert [by[i]["lang_pred"] for i in (1000, 1001, 1003)] == ["und"] * 3
+    assert [by[i]["lang_pred"] for i in (1000, 1001, 1003, 1005)] == ["und"] * 4
     assert [s["lang"] for s in by[1002]["spans"]] == ["aa", "bb"]
     assert {r["lang_pred"] for r in got} <= {"aa", "bb", "gr", "und"} and len(got) == len(rows)
     model = language.train(documents)
