@@ -92,3 +92,16 @@ def final_targets(pointers: DataFrame, rounds: int = 40) -> DataFrame:
         at = at.drop("moved") if _ < rounds - 1 else at
     on_cycle = F.col("moved") if "moved" in at.columns else F.lit(False)
     return at.select("id", F.when(~on_cycle, F.col("into")).alias("target"))
+
+
+def within_hops(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(node, hops): nodes reached from ``seeds`` (node) over edges (a, b), with the fewest steps.
+
+    Each round follows the edges of the newest nodes alone and is stored.
+    """
+    seen = _stored(seeds.select("node").distinct().withColumn("hops", F.lit(0)), "frontier")
+    for step in range(1, hops + 1):
+        newest = seen.where(F.col("hops") == step - 1)
+        ahead = newest.join(edges, newest.node == edges.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        seen = _stored(seen.union(ahead.withColumn("hops", F.lit(step))), "frontier")
+    return seen
