@@ -6,7 +6,7 @@ import re
 from array import array
 
 #: Entries that one worker keeps; a full cache starts again, so memory stays bounded.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 #: A word of Latin letters, perhaps with a mark after it: one or two pieces, no need to ask.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
