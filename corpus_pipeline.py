@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from colophon.llm import language, toxicity
 from colophon.llm.common import read, stored
 from colophon.llm.decontaminate import decontaminated
+from colophon.llm.near import one_of_similar
 from colophon.llm.packing import pack_documents
 from colophon.llm.queries import tokenizer_file
-from colophon.llm.simhash import one_of_each
 
 #: Least score of a document's language: below, letters of no one language prevail.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -30,8 +30,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays."""
-    return one_of_each(docs)
+    """Of each group of texts linked by a similarity of 0.8 the document of the smallest doc_id stays."""
+    return one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
