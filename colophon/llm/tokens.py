@@ -46,8 +46,8 @@ class Encoder:
     A byte-level tokenizer without a prefix space never lets a token cross from one word
     into the single space before the next, so a text's ids are those of its words, each
     with its space, one after the other; the words' ids are cached. Texts with runs of
-    white space are cut only at single spaces between other characters. A tokenizer of
-    another make encodes each text whole.
+    white space are cut only at single spaces between other characters. A text that holds
+    an added token, and any text for a tokenizer of another make, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,8 +57,9 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         pre = self.tokenizer.pre_tokenizer
-        # What reads like a special token in a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token go whole to the tokenizer, which knows it.
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.by_word = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
         self.split = pre.pre_tokenize_str if self.by_word else None
         self.pieces = _Cache(lambda piece: array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes())
@@ -78,7 +79,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or (self.added and self.added.search(text)):
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, *words = _APART.split(text) if _SPACED.search(text) else text.split(" ")
         return self._by_piece(first) + b"".join(map(self.words.__getitem__, words))
