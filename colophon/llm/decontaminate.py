@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +17,8 @@ from .common import bounded_batches
 
 #: Token positions that a seed reads (1) and ignores (0): fixed values.
 MASKS = ("11111111", "1101110111", "1110101101011", "11010011001010111")
+#: Dense seeds, by number of tokens: every overlap that verification accepts holds one of its item's.
+DENSE = ("1", "11", "111", "1111")
 #: Least matching tokens of an overlap, or all but a fifth of a shorter item, and least
 #: share of tokens that match in it.
 LEAST_MATCHES, LEAST_IDENTITY = 13, 0.8
@@ -25,12 +29,14 @@ BLOCK_BYTES = 8_000_000
 #: Bits of the table that rules out most seeds at once, as a power of two.
 TABLE_BITS = 22
 
-_TOKEN = re.compile(r"[^\W_]+")
+#: Scripts written without spaces: Thai to Lao, Myanmar, Khmer, kana, Chinese characters.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[^\W_{_UNSPACED}]+|(?=[^\W_])[{_UNSPACED}]")
 _CACHE = 300_000
 
 
 class Overlap(NamedTuple):
-    item_id: int
+    item_id: int | None
     matches: int
     length: int
     item_tokens: int
@@ -54,14 +60,14 @@ _TOKENS = _Tokens()
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    """One hash a token: lower-case runs of letters and digits."""
+    """One hash a token: lower-case runs of letters and digits, single characters in scripts without spaces."""
     words = _TOKEN.findall(text.lower()) if text else []
     return np.fromiter(map(_TOKENS.__getitem__, words), np.uint64, len(words))
 
 
 def seed_hashes(tokens: np.ndarray, number: int) -> np.ndarray:
     """A hash for every position where mask ``number`` fits, of the tokens it reads."""
-    mask = MASKS[number]
+    mask = (*MASKS, *DENSE)[number]
     n = len(tokens) - len(mask) + 1
     found = np.full(max(n, 0), number + 1, np.uint64)
     for at, kept in enumerate(mask):
@@ -71,14 +77,36 @@ def seed_hashes(tokens: np.ndarray, number: int) -> np.ndarray:
     return found
 
 
+def least_matches(n_tokens: int) -> int:
+    """Matching tokens that an overlap with an item of so many tokens needs."""
+    return min(LEAST_MATCHES, math.ceil(Fraction(LEAST_IDENTITY).limit_denominator(1000) * n_tokens))
+
+
+def dense_seed(n_tokens: int) -> int:
+    """The number of the dense seed that every accepted overlap with an item must hold.
+
+    M matches and m substitutions make m + 1 runs, the longest of M / (m + 1) tokens at
+    least. A fifth may be substituted, so that is over 3 for 13 matches or more; in an
+    item of fewer tokens no more than it lacks of what it needs is substituted.
+    """
+    needed = least_matches(n_tokens)
+    width = 4 if needed == LEAST_MATCHES else -(-needed // (n_tokens - needed + 1))
+    return len(MASKS) + min(width, len(DENSE)) - 1
+
+
 class SeedIndex:
     """The seeds of benchmark items, each with its item and position."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = [(i, token_hashes(text)) for i, text in items]
+        sizes = [len(tokens) for _, tokens in self.items]
+        self.sizes, self.needed = np.array(sizes, np.int64), np.array([least_matches(n) for n in sizes], np.int64)
+        self.tokens = np.concatenate([np.zeros(0, np.uint64), *(tokens for _, tokens in self.items)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.numbers = sorted({*range(len(MASKS)), *(dense_seed(n) for n in sizes if n)})
         hashes, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for owner, (_, tokens) in enumerate(self.items):
-            for number in range(len(MASKS)):
+            for number in (*range(len(MASKS)), dense_seed(len(tokens))) if len(tokens) else ():
                 seeds = seed_hashes(tokens, number)
                 hashes.append(seeds)
                 owners.append(np.full(len(seeds), owner))
@@ -93,7 +121,7 @@ class SeedIndex:
         """The best verified overlap of a text with every item, by item."""
         tokens = token_hashes(text)
         pairs = []
-        for number in range(len(MASKS)):
+        for number in self.numbers:
             seeds = seed_hashes(tokens, number)
             at = np.flatnonzero(self.table[seeds >> np.uint64(64 - TABLE_BITS)])
             low, high = np.searchsorted(self.hashes, seeds[at]), np.searchsorted(self.hashes, seeds[at], "right")
@@ -101,13 +129,35 @@ class SeedIndex:
             if sizes.any():
                 entry = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
                 pairs.append(np.stack((self.owners[entry], np.repeat(at, sizes) - self.places[entry]), 1))
-        best: dict[int, Overlap] = {}
-        for owner, shift in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
+        best: dict[tuple, Overlap] = {}
+        for owner, shift in self._enough(tokens, np.concatenate(pairs)) if pairs else ():
             found = self._verified(tokens, owner, shift)
-            if found and (found.item_id not in best or (found.matches, -found.doc_start) > (best[found.item_id].matches, -best[found.item_id].doc_start)):
-                best[found.item_id] = found
+            if not found:
+                continue
+            # Items without an id are each their own.
+            key = (1, owner) if found.item_id is None else (0, found.item_id)
+            if key not in best or (found.matches, -found.doc_start) > (best[key].matches, -best[key].doc_start):
+                best[key] = found
         return [best[i] for i in sorted(best)]
 
+    def _enough(self, tokens: np.ndarray, pairs: np.ndarray) -> list[list[int]]:
+        """The different (owner, shift) where an item laid beside the text has the matches it needs, in all."""
+        span = 1 << 32
+        pairs = np.unique(pairs[:, 0] * span + pairs[:, 1] + (span >> 1))
+        owners, shifts = pairs // span, pairs % span - (span >> 1)
+        kept = []
+        for low in range(0, len(pairs), 4096):
+            owner, shift = owners[low : low + 4096], shifts[low : low + 4096]
+            first = np.maximum(0, -shift)
+            size = np.minimum(self.sizes[owner], len(tokens) - shift) - first
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+            equal = tokens[place + np.repeat(shift, size)] == self.tokens[place + np.repeat(self.starts[owner], size)]
+            sums = np.concatenate(([0], np.cumsum(equal)))
+            good = sums[ends] - sums[ends - size] >= self.needed[owner]
+            kept += np.stack((owner[good], shift[good]), 1).tolist()
+        return kept
+
     def _verified(self, tokens: np.ndarray, owner: int, shift: int) -> Overlap | None:
         """The best run of an item laid beside the text at a shift, substitutions allowed."""
         item_id, item = self.items[owner]
@@ -123,8 +173,7 @@ class SeedIndex:
             more = int(equal[a:b].sum())
             if more > matches and more >= LEAST_IDENTITY * (b - a):
                 start, matches, length = a, more, b - a
-        needed = min(LEAST_MATCHES, -int(-LEAST_IDENTITY * len(item) // 1))
-        if matches < needed or matches < LEAST_IDENTITY * length:
+        if matches < self.needed[owner] or matches < LEAST_IDENTITY * length:
             return None
         return Overlap(item_id, matches, length, len(item), first + shift + start, first + shift + start + length)
 
@@ -136,13 +185,14 @@ def _indexes(benchmark: DataFrame) -> Iterator[SeedIndex]:
     blocks = max(1, -(-size // BLOCK_BYTES))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        yield SeedIndex(sorted((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None))
+        yield SeedIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matches, length, item_tokens, doc_start, doc_end) of every overlap.
 
-    Text and item share a seed if the tokens that one of the MASKS reads are equal.
+    Text and item share a seed if the tokens that one of the MASKS, or the item's DENSE
+    seed, reads are equal; no overlap that the following accepts is without one.
     Around each such hit the item is laid beside the text, and the best run, in which
     a substituted token costs SUBSTITUTION matches, must have LEAST_MATCHES matches (or
     four fifths of a shorter item) and LEAST_IDENTITY of its tokens equal. The best run
@@ -150,7 +200,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The benchmark goes to the tasks in blocks of bounded size and texts never move:
     every block is one pass over the documents. Null and empty texts and items give no
-    rows; rows that repeat a doc_id are each searched; other columns are not read.
+    rows; items without an id are each searched; rows that repeat a doc_id too; other columns are not read.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
