@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_APACHE_WARRANTY = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+
 #: Known licence sentences, as normalised: fixed values. Identifier, sentence.
 SENTENCES = (
     ("mit-name", "released under the mit license"),
@@ -19,14 +21,22 @@ SENTENCES = (
     ("mit-liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache-name", "licensed under the apache license version 2 0"),
     ("apache-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    # The same as it is usually written: sentences are cut at ':' and ';' too, and a comment's empty lines are no blank ones.
+    ("apache-name", "licensed under the apache license version 2 0 the license"),
+    ("apache-use", "you may not use this file except in compliance with the license"),
+    *(("apache-warranty", f"you may obtain a copy of the license at {at} www apache org licenses license 2 0 " + _APACHE_WARRANTY) for at in ("http", "https")),
     ("apache-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-warranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-warranty", _APACHE_WARRANTY),
     ("apache-terms", "see the license for the specific language governing permissions and limitations under the license"),
     ("gpl3-name", "this work is licensed under the gnu general public license version 3"),
     ("gpl3-name", "licensed under the gnu general public license version 3"),
     ("gpl-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl2-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-free", "this program is free software"),
+    *((f"gpl{v}-terms", f"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {v} of the license or at your option any later version") for v in (2, 3)),
+    ("gpl-useful", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-merchant", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-details", "see the gnu general public license for more details"),
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
@@ -38,6 +48,8 @@ SENTENCES = (
     ("cc-by-nc-name", "licensed under cc by nc 4 0"),
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl-form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    # Cut after 'v.'; only version 2.0 speaks of a Source Code Form.
+    ("mpl-form", "this source code form is subject to the terms of the mozilla public license v"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved"),
 )
@@ -51,14 +63,17 @@ class LicenceRule(NamedTuple):
     steps: tuple[str, ...]
 
 
-#: Ordered licence rules: fixed values.
+#: Ordered licence rules: fixed values. A rule may stand more than once, for sentences whole and in parts.
 LICENCE_RULES = (
     LicenceRule("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     LicenceRule("mit-named", "MIT", ("mit-name",)),
     LicenceRule("apache-text", "Apache-2.0", ("apache-header", "apache-warranty", "apache-terms")),
+    LicenceRule("apache-text", "Apache-2.0", ("apache-name", "apache-use", "apache-warranty", "apache-terms")),
     LicenceRule("apache-named", "Apache-2.0", ("apache-name",)),
     LicenceRule("gpl3-text", "GPL-3.0-or-later", ("gpl-later", "gpl-warranty", "gpl-details")),
     LicenceRule("gpl2-text", "GPL-2.0-or-later", ("gpl2-later", "gpl-warranty", "gpl-details")),
+    LicenceRule("gpl3-text", "GPL-3.0-or-later", ("gpl-free", "gpl3-terms", "gpl-useful", "gpl-merchant", "gpl-details")),
+    LicenceRule("gpl2-text", "GPL-2.0-or-later", ("gpl-free", "gpl2-terms", "gpl-useful", "gpl-merchant", "gpl-details")),
     LicenceRule("gpl3-named", "GPL-3.0", ("gpl3-name",)),
     LicenceRule("bsd3-text", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     LicenceRule("bsd2-text", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
