@@ -190,7 +190,8 @@ def similar_links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     Candidates share two segments in a row of a wide fingerprint and differ in few bits of
     another. Every candidate is compared by its shingles themselves, so no link is wrong.
     Texts meet the first like them in each key, and after that what those links have not
-    joined, so a group of near copies costs a few pairs a text and not all of its pairs.
+    joined. A group whose texts are alike by their fingerprints but below LEAST by their
+    shingles is not joined, and then costs up to PAIRED - 1 pairs a text and key.
     """
     pairs = _candidates(classes.select("class", "fp"), "key long, class long, x long, y long", _first_candidates)
     asked = classes.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi")
