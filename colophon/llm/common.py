@@ -54,5 +54,16 @@ def ascii_lower(column):
 
 
 def held_out(doc_id="doc_id"):
-    """True for the fifth of documents that no model learns from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of documents that no model learns from; false without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker keeps from task to task: one thing, until tasks of another kind come."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]

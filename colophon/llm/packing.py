@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
-from .tokens import encoder
+from .tokens import encoded_batches
 
 CAPACITY = 2048
 
@@ -78,16 +78,15 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity
     """Pieces of at most ``capacity`` ids of every text with its end id, with their checksums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        kind = np.dtype("<u2" if enc.width == 2 else "<u4")
-        end = kind.type(end_id).tobytes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, kind).astype("<u4")
-                rows += [(doc_id, a, len(ids[a : a + capacity]), zlib.crc32(ids[a : a + capacity]), len(ids)) for a in range(0, len(ids), capacity)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for doc_ids, ids, sizes in encoded_batches(batches, tokenizer, end_id):
+            body, counts = memoryview(ids.astype("<u4").view(np.uint8)), -(-sizes // capacity)
+            document = np.repeat(np.arange(len(sizes)), counts)
+            start = (np.arange(len(document)) - np.repeat(np.cumsum(counts) - counts, counts)) * capacity
+            length = np.minimum(capacity, sizes[document] - start)
+            low = (np.cumsum(sizes) - sizes)[document] + start
+            crcs = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(low.tolist(), (low + length).tolist(), strict=True)]
+            columns = [doc_ids.take(pa.array(document)), *map(pa.array, (start, length, np.array(crcs, np.int64), sizes[document]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_folder
-from .tokens import encoder
+from .tokens import encoded_batches
 
 MAGIC = b"WMX1"
 #: Bits between two entries of the rank directory.
@@ -141,29 +141,29 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        kind = np.dtype("<u2" if enc.width == 2 else "<u4")
-        end = kind.type(end_id).tobytes()
-        state = {"shard": 0, "start": 0}
-
-        def closed(ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(texts), kind)
-            row = [part, state["shard"], state["start"], len(tokens), ids, [len(t) // enc.width for t in texts], WaveletMatrix.build(tokens).to_bytes()]
-            state["shard"] += 1
-            state["start"] += len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SHARD, strict=True)], schema=_SHARD)
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                texts.append(enc.encode(text.as_py()) + end)
-                size += len(texts[-1]) // enc.width
+        part, shard, start = TaskContext.get().partitionId(), 0, 0
+
+        def closed(doc_ids: list[pa.Array], ids: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+            tokens = np.concatenate(ids)
+            tokens = tokens.astype(np.uint16) if int(tokens.max()) < 1 << 16 else tokens
+            row = [[part], [shard], [start], [len(tokens)], [pa.concat_arrays(doc_ids)], [np.concatenate(sizes)], [WaveletMatrix.build(tokens).to_bytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SHARD, strict=True)], schema=_SHARD)
+
+        held, size = ([], [], []), 0
+        for doc_ids, ids, sizes in encoded_batches(batches, tokenizer, end_id):
+            ends, low = np.cumsum(sizes), 0
+            while low < len(sizes):
+                first = int(ends[low - 1]) if low else 0
+                # The shard closes with the document that fills it.
+                high = min(len(sizes), int(np.searchsorted(ends, first + shard_tokens - size)) + 1)
+                for kept, more in zip(held, (doc_ids[low:high], ids[first : int(ends[high - 1])], sizes[low:high]), strict=True):
+                    kept.append(more)
+                size, low = size + int(ends[high - 1]) - first, high
                 if size >= shard_tokens:
-                    yield closed(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield closed(ids, texts)
+                    yield closed(*held)
+                    held, shard, start, size = ([], [], []), shard + 1, start + size, 0
+        if size:
+            yield closed(*held)
 
     return run
 
