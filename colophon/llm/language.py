@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bounded_batches, held_out, stored
+from .common import bounded_batches, held_out, kept, stored
+from .words import chunks, cut, table_of
 
 #: At most about so many training documents of each language, chosen by a hash.
-TRAIN_DOCUMENTS = 4000
-#: Words and trigrams kept of each language; fewer if there are many languages.
-TOP_WORDS, TOP_TRIGRAMS, MODEL_CELLS = 20_000, 5_000, 4_000_000
+TRAIN_DOCUMENTS = 1000
+#: Weight of a word's trigrams beside its own counts, in occurrences.
+BY_TRIGRAMS = 2.0
 #: Natural log of how unlikely a change of language is from one word to the next.
 SWITCH = 10.0
 #: Least posterior of a language for one word.
@@ -45,9 +45,10 @@ SCRIPTS = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters, a run of which is a word.
+_LETTERS = table_of(r"[^\W\d_]") & np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 #: Words whose rows a worker keeps.
-_CACHE = 400_000
+_CACHE = 250_000
 
 
 def script_of(word: str) -> str:
@@ -61,17 +62,21 @@ def script_of(word: str) -> str:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Index of each word's language on the best path: sum of scores less ``switch`` a change.
 
-    If no stretch of words prefers any language to the best overall by more than
-    ``switch``, no path with changes can win: an excursion through k stretches costs at
-    least k changes and gains at most k times that. Most texts end there; the others are
-    walked word by word.
+    Most texts are in one language throughout, which bounds show. A path that visits the
+    best language overall makes at least one change for each stretch in another, so if
+    no stretch gains more than ``switch`` over it, none of these paths wins. A path that
+    never visits it starts with one stretch, ends with another and makes one change
+    less; it cannot win if the most that a start and an end gain together is no more
+    than ``switch``. The other texts are walked word by word.
     """
     n, kinds = scores.shape
     best = int(scores.sum(0).argmax())
     if kinds == 1 or not n:
         return np.full(n, best)
     gain = np.cumsum(np.vstack((np.zeros((1, kinds)), scores - scores[:, [best]])), 0)
-    if (gain - np.minimum.accumulate(gain, 0)).max() <= switch:
+    stretch = (gain - np.minimum.accumulate(gain, 0)).max()
+    ends = gain[1:].max() + (gain[-1] - gain[:-1]).max()
+    if stretch <= switch and ends <= switch:
         return np.full(n, best)
     rows, back = scores.tolist(), np.empty((n, kinds), np.int32)
     state = rows[0]
@@ -93,51 +98,48 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 class LanguageModel:
-    """Word and trigram counts of each language, and the scripts it is written in."""
+    """What words and trigrams say of each language, and the scripts it is written in.
 
-    def __init__(self, languages: list[str], words: dict, trigrams: dict, scripts: dict):
-        self.languages, self.scripts = languages, scripts
-        logs, _ = self._logs(words)
-        self.words = {w: self._posterior(row) for w, row in logs.items()}
-        grams, strange = self._logs(trigrams)
-        #: Row 0 is for trigrams outside the table.
-        self.gram_ids = {g: i for i, g in enumerate(grams, 1)}
-        self.grams = np.concatenate((strange[None], *(row[None] for row in grams.values())))
-        self._fits, self._scorer = {}, None
-
-    def _logs(self, counts: dict) -> tuple[dict, np.ndarray]:
-        table = np.array(list(counts.values()), np.float64).reshape(-1, len(self.languages))
-        total = np.log(table.sum(0) + 0.5 * (len(counts) + 1))
-        return dict(zip(counts, (np.log(table + 0.5) - total).astype(np.float32), strict=True)), (np.log(0.5) - total).astype(np.float32)
+    ``words`` has for every word the languages it was seen in and how often, as two
+    arrays from ``bounds[word]`` on; ``trigrams`` has counts by trigram and language.
+    """
 
-    def _posterior(self, logs: np.ndarray) -> np.ndarray:
-        p = np.exp(logs - logs.max())
-        return np.log(np.maximum(p / p.sum(), FLOOR)).astype(np.float32)
+    def __init__(self, languages: list[str], words: dict[str, dict[int, int]], trigrams: dict[str, list[int]], scripts: dict[str, set[str]]):
+        self.key, self.languages, self.scripts = uuid.uuid4().hex, languages, scripts
+        self.words = {w: i for i, w in enumerate(words)}
+        self.bounds = np.concatenate(([0], np.cumsum([len(c) for c in words.values()]))).astype(np.int64)
+        self.seen_in = np.array([k for c in words.values() for k in c], np.int32)
+        counts = np.array([n for c in words.values() for n in c.values()], np.float32)
+        totals = np.maximum(np.bincount(self.seen_in, counts, len(languages)), 1)
+        # As if every language had as many words.
+        self.counts = (counts * (totals.mean() / totals)[self.seen_in]).astype(np.float32)
+        table = np.array(list(trigrams.values()), np.float64).reshape(-1, len(languages))
+        total = np.log(table.sum(0) + 0.5 * (len(trigrams) + 1))
+        #: Row 0 is for trigrams outside the table.
+        self.gram_ids = {g: i for i, g in enumerate(trigrams, 1)}
+        self.grams = np.concatenate((np.log(0.5) - total[None], np.log(table + 0.5) - total)).astype(np.float32)
+        self._fits = {}
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Log posterior of every language for lower-case words.
 
+        What a word's trigrams say counts like BY_TRIGRAMS occurrences of it, so words
+        never or seldom seen are judged by their trigrams and common ones by themselves.
         Languages not written in a word's script are out; if none is, the word says
-        nothing. Words outside the vocabulary are judged by their trigrams.
+        nothing.
         """
-        found = np.zeros((len(words), len(self.languages)), np.float32)
-        unseen, at, sizes = [], [], []
-        for i, word in enumerate(words):
-            known = self.words.get(word)
-            if known is not None:
-                found[i] = known
-            else:
-                padded = f" {word} "
-                unseen.append(i)
-                at += [self.gram_ids.get(padded[k : k + 3], 0) for k in range(len(word))]
-                sizes.append(len(word))
-        if unseen:
-            starts = np.cumsum(sizes) - sizes
-            sums = np.add.reduceat(self.grams[at], starts, 0)
-            p = np.exp(sums - sums.max(1, keepdims=True))
-            found[unseen] = np.log(np.maximum(p / p.sum(1, keepdims=True), FLOOR))
-        kinds = [self.fits(script_of(w)) for w in words]
-        fits = np.array(kinds, bool).reshape(found.shape)
+        at = [self.gram_ids.get(padded[k : k + 3], 0) for word in words for padded in (f" {word} ",) for k in range(len(word))]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sums = np.add.reduceat(self.grams[at], np.cumsum(sizes) - sizes, 0)
+        p = np.exp(sums - sums.max(1, keepdims=True))
+        found = (BY_TRIGRAMS / p.sum(1, keepdims=True) * p).astype(np.float32)
+        known = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        seen = np.flatnonzero(known >= 0)
+        low, high = self.bounds[known[seen]], self.bounds[known[seen] + 1]
+        entry = np.arange((high - low).sum()) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+        found[np.repeat(seen, high - low), self.seen_in[entry]] += self.counts[entry]
+        found = np.log(np.maximum(found / found.sum(1, keepdims=True), FLOOR))
+        fits = np.array([self.fits(script_of(w)) for w in words], bool).reshape(found.shape)
         found[~fits] = np.log(FLOOR)
         found[~fits.any(1)] = 0
         return found
@@ -150,9 +152,7 @@ class LanguageModel:
 
     def scorer(self) -> Scorer:
         """The worker's scorer, kept from task to task."""
-        if self._scorer is None:
-            self._scorer = Scorer(self)
-        return self._scorer
+        return kept(("language", self.key), lambda: Scorer(self))
 
 
 class Scorer:
@@ -165,81 +165,79 @@ class Scorer:
     def _forget(self) -> None:
         self.ids, self.table = {}, np.empty((1 << 15, len(self.model.languages)), np.float32)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The rows of different words, as places in the table."""
         if len(self.ids) > _CACHE:
             self._forget()
-        new = [w for w in words if w not in self.ids]
-        first = len(self.ids)
-        while len(self.table) < first + len(new):
-            self.table = np.concatenate((self.table, np.empty_like(self.table)))
-        self.table[first : first + len(new)] = self.model.rows(new)
-        self.ids.update(zip(new, range(first, first + len(new)), strict=True))
+        found = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            strange, first = [words[i] for i in new.tolist()], len(self.ids)
+            while len(self.table) < first + len(new):
+                self.table = np.concatenate((self.table, np.empty_like(self.table)))
+            for at in range(0, len(new), 4096):
+                part = strange[at : at + 4096]
+                self.table[first + at : first + at + len(part)] = self.model.rows(part)
+            found[new] = np.arange(first, first + len(new))
+            self.ids.update(zip(strange, found[new].tolist(), strict=True))
+        return found
 
     def labels(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
         """The main language, its score and the spans (from, to, language) of every text."""
-        for at in range(0, len(texts), 200):
-            some = texts[at : at + 200]
-            words = [_WORD.findall(t.lower()) if t else [] for t in some]
-            self._learn(set().union(*words))
-            yield from map(self._label, some, words)
-
-    def _label(self, text: str | None, words: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
-        # Fractions and the like are word characters, but no letters.
-        if not any(c.isalpha() for w in words for c in w):
+        for some in chunks(texts):
+            words = cut(some, _LETTERS)
+            places, letters = self._learn(words.distinct), np.fromiter(map(len, words.distinct), np.int64, len(words.distinct))
+            for text, a, b in zip(some, words.bounds.tolist(), words.bounds[1:].tolist(), strict=False):
+                index = words.index[a:b]
+                yield self._label(text, self.table[places[index]], letters[index], words.starts[a:b])
+
+    def _label(self, text: str, scores: np.ndarray, letters: np.ndarray, starts: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
+        if not len(scores):
             return "und", 0.0, []
-        scores = self.table[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
         path = viterbi(scores)
-        letters = np.fromiter(map(len, words), np.int64, len(words))
         weights = np.bincount(path, letters, len(self.model.languages))
         best = int(weights.argmax())
         mine = path == best
         sure = float((np.exp(scores[mine, best]) * letters[mine]).sum() / letters.sum())
         changes = np.flatnonzero(np.diff(path)) + 1
-        if not len(changes):
-            return self.model.languages[best], min(1.0, sure), [(0, len(text), self.model.languages[best])]
-        starts = [m.start() for m in _WORD.finditer(text.lower())]
-        cuts = [0, *(starts[i] for i in changes), len(text)]
-        return self.model.languages[best], min(1.0, sure), [(a, b, self.model.languages[path[i]]) for a, b, i in zip(cuts, cuts[1:], [0, *changes], strict=False)]
+        cuts = [0, *starts[changes].tolist(), len(text)]
+        return self.model.languages[best], min(1.0, sure), [(a, b, self.model.languages[path[i]]) for a, b, i in zip(cuts, cuts[1:], [0, *changes.tolist()], strict=False)]
 
 
 def train(documents: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> LanguageModel:
     """Learn from the text and lang of documents that are not held out.
 
     Of each language about ``per_language`` documents are used, whole, chosen by a hash
-    of doc_id: the model, which goes to every task, stays of bounded size. Words and
-    trigrams are counted by Spark; the commonest of each language come to the driver.
+    of doc_id: the bound of the model, which goes to every task. Spark counts their words
+    and trigrams; all of them are in the model.
     """
     known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel(["und"], {}, {}, {"und": set()})
-    top_words, top_trigrams = (min(n, MODEL_CELLS // len(languages) ** 2) for n in (TOP_WORDS, TOP_TRIGRAMS))
+    number = {x: i for i, x in enumerate(languages)}
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     words = stored(
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")),
         "words",
     )
-
-    def top(df: DataFrame, key: str, n: int) -> dict[str, list[int]]:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
-        common = df.withColumn("rank", rank).where(F.col("rank") <= n).select(key).distinct()
-        found: dict[str, list[int]] = {}
-        for r in df.join(F.broadcast(common), key).select("lang", key, "n").collect():
-            found.setdefault(r[key], [0] * len(languages))[languages.index(r["lang"])] = r["n"]
-        return dict(sorted(found.items()))
-
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(3)))).alias("gram"))
-    trigrams = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
-    vocabulary = top(words, "word", top_words)
+    vocabulary: dict[str, dict[int, int]] = {}
     letters = {x: {} for x in languages}
-    for word, counts in vocabulary.items():
-        for x, n in zip(languages, counts, strict=True):
+    # As Arrow batches: no row object for each word.
+    for batch in words.select("word", "lang", "n").toArrow().to_batches():
+        for word, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            vocabulary.setdefault(word, {})[number[x]] = n
             letters[x][script_of(word)] = letters[x].get(script_of(word), 0) + n * len(word)
     scripts = {x: {s for s, n in of.items() if n >= SCRIPT_SHARE * sum(of.values())} for x, of in letters.items()}
-    return LanguageModel(languages, vocabulary, top(trigrams, "gram", top_trigrams), scripts)
+    trigrams: dict[str, list[int]] = {}
+    for batch in grams.groupBy("gram", "lang").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for gram, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            trigrams.setdefault(gram, [0] * len(languages))[number[x]] = n
+    return LanguageModel(languages, dict(sorted(vocabulary.items())), dict(sorted(trigrams.items())), scripts)
 
 
 def label_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
