@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Values of roman letters, and the least number that no page has in them: fixed values.
+ROMAN, ROMAN_LIMIT = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}, 400
+
+
 def any_contains(columns: list[Column], text: str) -> Column:
     """Substring search over several columns, case folded; blank text matches all."""
     text = text.strip().lower()
@@ -69,24 +73,23 @@ def years_in(text: Column, first: int = 1500, last: int = 2100) -> Column:
 
 
 def year_span(text: Column) -> Column:
-    """struct(start, end, certainty): a range of several years, one year, or nulls."""
+    """struct(start, end, certainty): one year has no end; several give the first and the last."""
     years = years_in(text)
-    kind = F.when(F.size(years) == 0, "unknown").when(F.size(F.array_distinct(years)) > 1, "range").when(text.rlike(r"(?i)\b(?:c|ca|circa)\.|\?"), "estimated").otherwise("exact")
-    return F.struct(F.array_min(years).alias("start"), F.array_max(years).alias("end"), kind.alias("certainty"))
+    several = F.size(years) > 1
+    guessed = text.rlike(r"(?i)c\.|ca\.|頃|ごろ|\?|推定|circa")
+    kind = F.when(F.coalesce(F.size(years), F.lit(0)) <= 0, "unknown").when(guessed, "estimated").when(several, "range").otherwise("exact")
+    return F.struct(F.array_min(years).alias("start"), F.when(several, F.array_max(years)).alias("end"), kind.alias("certainty"))
 
 
 def roman_value(numeral: Column) -> Column:
-    """Value of a roman numeral by subtraction; null for anything else or nothing."""
+    """Value of a roman numeral, a letter before a larger one counting against; null for
+    anything else, and from ROMAN_LIMIT on."""
     letters = F.split(F.lower(numeral), "")
-    value = lambda c: F.when(c == "i", 1).when(c == "v", 5).when(c == "x", 10).when(c == "l", 50).when(c == "c", 100).otherwise(0)
+    value = lambda c: F.coalesce(*[F.when(c == x, F.lit(n)) for x, n in ROMAN.items()], F.lit(0))
     figures = F.transform(letters, value)
-    # From the right, a letter below the largest seen so far counts against.
-    fold = F.aggregate(
-        F.reverse(figures),
-        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")),
-        lambda s, v: F.struct((s["sum"] + F.when(v < s["top"], -v).otherwise(v)).alias("sum"), F.greatest(s["top"], v).alias("top")),
-    )
-    return F.when(numeral.rlike(r"(?i)^[ivxlc]+$"), fold["sum"])
+    following = F.concat(F.slice(figures, F.lit(2), F.size(figures)), F.array(F.lit(0)))
+    total = F.aggregate(F.zip_with(figures, following, lambda v, n: F.when(v < n, -v).otherwise(v)), F.lit(0), lambda s, v: s + v)
+    return F.when(numeral.rlike(r"(?i)^[ivxlcdm]+$") & (total > 0) & (total < ROMAN_LIMIT), total)
 
 
 def decoded_entities(text: Column) -> Column:

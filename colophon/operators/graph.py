@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder that driver and executors share: spark.checkpoint.dir."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import Stored
+from ..scratch import stored as _stored
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -33,18 +21,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     The rank of nodes without out-edges is dealt evenly to all; parallel edges count as
     many times. Edges are stored once with their source's share, and the ranks, which a
     round reads twice, after every round: plans stay short and a lost executor costs one
-    round.
+    round. The ranks of earlier rounds are deleted.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = _stored(edges.groupBy("src", "dst").agg(F.count("*").alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "links")
     nodes = _stored(nodes.select("node").distinct(), "nodes")
-    n = nodes.count()
+    n, rounds_of = nodes.count(), Stored(nodes.sparkSession, "ranks")
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     sources = links.select(F.col("src").alias("node")).distinct()
     for _ in range(rounds):
         loose = ranks.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         given = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        ranks = _stored(nodes.join(given, "node", "left").join(F.broadcast(loose)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank")), "ranks")
+        ranks = rounds_of.keep(nodes.join(given, "node", "left").join(F.broadcast(loose)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank")))
+        rounds_of.drop(but=1)
     return ranks
 
 
@@ -66,6 +55,65 @@ def same_key_pairs(df: DataFrame, key: Column, id_column: str, most: int = 30, l
     return few.select("dup_key", F.col("id").alias("id_a")).join(few.select("dup_key", F.col("id").alias("id_b")), "dup_key").where("id_a < id_b")
 
 
+def citation_edges(edges: DataFrame, identifiers: DataFrame, years: DataFrame) -> DataFrame:
+    """(src, dst): citations (from_ident, to_ident) between the sources that own the identifiers.
+
+    Ends that nobody owns, loops, and works that would cite one of more than a year
+    later are left out; each edge is once. ``years``: source_id, year.
+    """
+    owner = lambda name, end: identifiers.select(F.col("ident").alias(name), F.col("source_id").alias(end))
+    of = lambda end: years.select(F.col("source_id").alias(end), F.col("year").alias(f"{end}_year"))
+    found = edges.join(owner("from_ident", "src"), "from_ident").join(owner("to_ident", "dst"), "to_ident").where("src <> dst").select("src", "dst").distinct()
+    dated = found.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return dated.where(~F.coalesce(F.col("src_year") < F.col("dst_year") - 1, F.lit(False))).select("src", "dst")
+
+
+def work_relations(works: DataFrame, most: int = 30, least_key: int = 5) -> DataFrame:
+    """(from_id, to_id, type): how works (id, key, title, author, year) of one key are related.
+
+    Of two different titles of which one holds the other: an edition (the later of the
+    earlier) if their years differ, a duplicate if they are the same. Of one title:
+    the same by years, and without both years the same work if a name is shared.
+    Any other pair of different titles is the same work.
+    """
+    sized = works.where(F.length("key") >= least_key)
+    few = sized.join(sized.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("key"), "key")
+    side = lambda x: few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "title", "author", "year")])
+    pairs = side("a").join(side("b"), "key").where("id_a < id_b")
+    same, inside = F.col("title_a") == F.col("title_b"), F.contains("title_a", "title_b") | F.contains("title_b", "title_a")
+    names = lambda x: F.regexp_extract_all(F.lower(F.coalesce(f"author_{x}", F.lit(""))), F.lit(r"[\p{L}\p{N}]{2,}"), 0)
+    dated, one_year = F.col("year_a").isNotNull() & F.col("year_b").isNotNull(), F.col("year_a") == F.col("year_b")
+    kind = (
+        F.when(inside & dated & one_year, "duplicate-of")
+        .when(inside & dated, "edition-of")
+        .when(same, F.when(F.arrays_overlap(names("a"), names("b")), "same-work"))
+        .otherwise("same-work")
+    )
+    later = (kind == "edition-of") & (F.col("year_b") > F.col("year_a"))
+    return pairs.select(F.when(later, F.col("id_b")).otherwise(F.col("id_a")).alias("from_id"), F.when(later, F.col("id_a")).otherwise(F.col("id_b")).alias("to_id"), kind.alias("type")).where("type is not null")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component): every end of edges (a, b) with the smallest end that edges reach.
+
+    Each round gives a node the smallest label among its neighbours and then that
+    label's own, so labels travel twice as far every round.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct()
+    kept = Stored(edges.sparkSession, "labels")
+    links = _stored(both, "links")
+    labels = kept.keep(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
+        near = links.join(labels, links.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        met = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
+        jump = met.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        moved = kept.keep(met.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        kept.drop(but=2)
+        if moved.where("old <> component").isEmpty():
+            return moved.select("node", "component")
+        labels = moved.select("node", "component")
+
+
 def reconcile(asserted: DataFrame, live: DataFrame, keys: list[str], most_withdrawn: float = 0.34) -> DataFrame:
     """(keys, action): add, keep or withdraw edges; refuses to withdraw too large a share."""
     a, b = asserted.select(*keys).distinct().withColumn("a", F.lit(1)), live.select(*keys).distinct().withColumn("b", F.lit(1))

@@ -2,27 +2,95 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Precedence of how a claim came about: fixed values.
-BANDS = {"editorial_decision": 900, "curated_assertion": 700, "observed_metadata": 500, "extracted": 300, "inferred": 200}
-WEAKEST = 100
+BANDS = {
+    "editorial_decision": 900,
+    "curated_assertion": 800,
+    "observed": 700,
+    "transcribed": 680,
+    "extracted": 600,
+    "normalized": 500,
+    "llm_extraction": 400,
+    "inferred": 300,
+    "heuristic": 100,
+}
+WEAKEST, EDITORIAL = 100, BANDS["editorial_decision"]
 #: Same-band claims nearer than this in score neither win nor yield.
 WINDOW = 10
+#: Derivations that need evidence and never apply by themselves: fixed values.
+LOW_TRUST = ("llm_extraction", "inferred", "heuristic")
+#: Identity decisions that name one source for certain: fixed values.
+STRONG_ATTACH = ("explicit_target", "strong_single", "repo_path_exact", "repo_path_rename_rebind")
+#: Least confidence of an edit, and of a trusted harvest, that applies by itself.
+SURE_EDIT, SURE_HARVEST = 0.99, 0.7
+#: Origins that editors work through.
+EDITORIAL_ORIGINS = ("website", "manual")
 
 
 def band(derivation: Column) -> Column:
-    found = F.lit(WEAKEST)
-    for name, value in BANDS.items():
-        found = F.when(derivation == name, F.lit(value)).otherwise(found)
-    return found
+    """The band of a derivation; an unknown one is of the weakest."""
+    return F.coalesce(*[F.when(derivation == name, F.lit(value)) for name, value in BANDS.items()], F.lit(WEAKEST))
 
 
 def rank_score(weight: Column, confidence: Column, evidence: Column) -> Column:
-    """Weight, confidence in hundredths and up to five pieces of evidence."""
-    return (weight * 100 + F.floor(confidence * 100 + 0.5) + F.least(F.lit(25), 5 * evidence)).cast("int")
+    """Weight, confidence in hundredths (held within 0 to 1) and up to five pieces of evidence."""
+    sure = F.when(F.isnan(confidence.cast("double")), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence.cast("double"), F.lit(0.0)))))
+    return (weight * 100 + F.floor(sure * 100 + 0.5) + F.least(F.lit(25), 5 * F.greatest(F.lit(0), F.coalesce(evidence, F.lit(0))))).cast("int")
+
+
+def _folded(claims: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, start, step, finish) -> DataFrame:
+    """One row for each key: a fold over its claims in order, with a state of one claim.
+
+    Rows of a key are sorted in one place and pass by one after the other, so a key of
+    any size needs memory for its state alone.
+    """
+
+    def run(batches):
+        key = state = None
+        for batch in batches:
+            out = []
+            values = [c.to_pylist() for c in batch.select([*keys, *columns]).columns]
+            for row in zip(*values, strict=True):
+                own = row[: len(keys)]
+                if own != key:
+                    if key is not None:
+                        out.append((*key, *finish(state)))
+                    key, state = own, start()
+                state = step(state, row[len(keys) :])
+            if out:
+                yield _batch(out)
+        if key is not None:
+            yield _batch([(*key, *finish(state))])
+
+    kinds = to_arrow_schema(_parsed(claims, keys, schema))
+
+    def _batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = claims.select(*dict.fromkeys([*keys, *order, *columns])).repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+    return ordered.mapInArrow(run, _parsed(claims, keys, schema))
+
+
+def _parsed(claims: DataFrame, keys: list[str], schema: str) -> StructType:
+    return StructType([claims.schema[k] for k in keys] + list(StructType.fromDDL(schema)))
+
+
+def _ranks(state, b: int, s: int) -> str:
+    """How a claim of band b and score s stands to the winner: wins, yields or clashes."""
+    _, band_held, score_held, *_ = state
+    if b != band_held:
+        return "wins" if b > band_held else "yields"
+    return "clashes" if abs(s - score_held) <= WINDOW else "wins" if s > score_held else "yields"
 
 
 def field_winners(claims: DataFrame, keys: list[str], value: str = "value", arrival: list[str] = ("ts", "event_id")) -> DataFrame:
@@ -30,45 +98,122 @@ def field_winners(claims: DataFrame, keys: list[str], value: str = "value", arri
 
     A higher band wins; in one band a score higher by more than WINDOW wins, one lower
     by more than that yields, and anything between is a conflict that changes nothing.
-    Equal values only confirm. The rule depends on arrival, so each key is one fold over
-    its claims in order: an aggregate over a sorted array of one entity's claims.
+    Equal values only confirm. The rule depends on arrival, so claims pass in order.
     """
-    row = F.array_sort(F.collect_list(F.struct(*arrival, F.col(value).alias("v"), F.col("band").alias("b"), F.col("score").alias("s"))))
-    first = F.struct(F.lit(None).cast(claims.schema[value].dataType).alias("v"), F.lit(-1).alias("b"), F.lit(0).alias("s"), F.lit(0).alias("conflicts"))
-
-    def step(state, x):
-        fresh = state["b"] < 0
-        equal = state["v"].eqNullSafe(x["v"]) & ~fresh
-        higher = (x["b"] > state["b"]) | ((x["b"] == state["b"]) & (x["s"] - state["s"] > WINDOW))
-        lower = (x["b"] < state["b"]) | ((x["b"] == state["b"]) & (state["s"] - x["s"] > WINDOW))
-        wins = fresh | (~equal & higher)
-        clash = ~fresh & ~equal & ~higher & ~lower
-        return F.struct(
-            F.when(wins, x["v"]).otherwise(state["v"]).alias("v"),
-            F.when(wins, x["b"]).otherwise(state["b"]).alias("b"),
-            F.when(wins, x["s"]).otherwise(state["s"]).alias("s"),
-            (state["conflicts"] + clash.cast("int")).alias("conflicts"),
-        )
 
-    folded = claims.groupBy(*keys).agg(row.alias("rows")).select(*keys, F.aggregate("rows", first, step).alias("w"), F.size("rows").alias("claims"))
-    return folded.select(*keys, F.col("w.v").alias("winner"), F.col("w.b").alias("band"), F.col("w.s").alias("score"), "claims", F.col("w.conflicts").alias("conflicts"))
+    def step(state, claim):
+        v, b, s = claim
+        held, band_held, score_held, seen, conflicts = state
+        if not seen:
+            return v, b, s, 1, 0
+        stands = "equal" if v == held else _ranks(state, b, s)
+        if stands == "wins":
+            held, band_held, score_held = v, b, s
+        return held, band_held, score_held, seen + 1, conflicts + (stands == "clashes")
+
+    schema = f"winner {claims.schema[value].dataType.simpleString()}, band int, score int, claims int, conflicts int"
+    return _folded(claims, keys, list(arrival), [value, "band", "score"], schema, lambda: (None, 0, 0, 0, 0), step, lambda s: s)
+
 
+def set_members(claims: DataFrame, keys: list[str], arrival: list[str] = ("ts", "event_id")) -> DataFrame:
+    """(keys, members): set-valued claims (members, band) in order of arrival.
 
-def change_gate(presence: Column, lifecycle: Column, identity: Column, conflict: Column, derivation: Column, confidence: Column) -> Column:
-    """What happens to an observation: a table of ordered rules."""
-    attached = identity == "attach"
+    An editorial claim replaces the set, so what it leaves out is gone; any other only
+    adds. Only claims since the last editorial one count, so this is two aggregates
+    and no fold.
+    """
+    at = F.struct(*arrival)
+    last = claims.where(F.col("band") == EDITORIAL).groupBy(*keys).agg(F.max(at).alias("_last"))
+    counted = claims.join(last, keys, "left").where(F.col("_last").isNull() | (at >= F.col("_last")))
+    return counted.select(*keys, F.explode_outer("members").alias("m")).groupBy(*keys).agg(F.array_sort(F.collect_set("m")).alias("members"))
+
+
+def appended_notes(claims: DataFrame, keys: list[str], value: str = "value", arrival: list[str] = ("ts", "event_id")) -> DataFrame:
+    """(keys, note, band, score): a higher rank replaces the note, any other text is added below it.
+
+    Text that the note already holds changes nothing, and what is added never lowers
+    the rank that a later note must beat.
+    """
+
+    def step(state, claim):
+        note, b, s = claim
+        held, band_held, score_held, seen = state
+        note = note or ""
+        if not seen:
+            return note, b, s, True
+        if note in held:
+            return state
+        return (note, b, s, True) if _ranks(state, b, s) == "wins" else (f"{held}\n\n{note}", band_held, score_held, True)
+
+    return _folded(claims, keys, list(arrival), [value, "band", "score"], "note string, band int, score int", lambda: ("", 0, 0, False), step, lambda s: s[:3])
+
+
+def audit_findings(origin: Column, derivation: Column, confidence: Column, evidence: Column, identifiers_valid: Column) -> Column:
+    """Reasons why an observation is refused as a whole; an empty array lets it pass."""
+    sure = confidence.cast("double")
+    return F.array_compact(
+        F.array(
+            F.when(sure.isNull() | F.isnan(sure) | ~sure.between(0, 1), "confidence_out_of_range"),
+            F.when(~identifiers_valid, "malformed_identifier"),
+            F.when(derivation.isin(*LOW_TRUST) & (F.coalesce(evidence, F.lit(0)) <= 0), F.concat(F.lit("evidence_required_for_derivation:"), derivation)),
+            F.when((derivation == "editorial_decision") & ~F.coalesce(origin.isin(*EDITORIAL_ORIGINS), F.lit(False)), F.concat(F.lit("editorial_decision_forbidden_for_origin:"), origin)),
+        )
+    )
+
+
+def change_gate(findings: Column, presence: Column, lifecycle: Column, action: Column, decision: Column, conflict: Column, derivation: Column, origin: Column, confidence: Column) -> Column:
+    """struct(mode, reason, kind): what happens to an observation, by ordered rules."""
+    attached, strong = action == "attach", F.coalesce(decision.isin(*STRONG_ATTACH), F.lit(False))
+    editorial = (derivation == "editorial_decision") & F.coalesce(origin.isin(*EDITORIAL_ORIGINS), F.lit(False))
+    trusted = derivation.isin(*(x for x in BANDS if x not in LOW_TRUST))
+    out = lambda mode, reason, kind: F.struct(F.lit(mode).alias("mode"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"))
     return (
-        F.when(~confidence.between(0, 1) | confidence.isNull(), "reject")
-        .when(presence == "missing", F.when(attached, "auto_apply").otherwise("reject"))
-        .when(lifecycle, F.when(attached & (derivation == "editorial_decision"), "auto_apply").otherwise("propose"))
-        .when(~attached | conflict, "propose")
-        .when(derivation == "inferred", "propose")
-        .when((derivation == "editorial_decision") & (confidence >= 0.99), "auto_apply")
-        .when(derivation.isin("curated_assertion", "observed_metadata", "extracted") & (confidence >= 0.7), "auto_apply")
-        .otherwise("propose")
+        F.when(F.size(findings) > 0, out("reject", F.array_join(findings, ";"), "field_update"))
+        .when((presence == "missing") & attached, out("auto_apply", "drift", "drift"))
+        .when(presence == "missing", out("reject", "missing_unknown", "drift"))
+        .when(lifecycle & attached & editorial, out("auto_apply", "editorial_lifecycle", "lifecycle"))
+        .when(lifecycle, out("propose", "lifecycle_review", "lifecycle"))
+        .when(~attached, out("propose", F.concat(F.lit("new_or_unresolved:"), decision), F.when(action == "conflict", "identity_conflict").otherwise("new_source")))
+        .when(conflict, out("propose", "conflict", "identity_conflict"))
+        .when(derivation.isin(*LOW_TRUST), out("propose", F.concat(F.lit("low_trust:"), derivation), "enrichment"))
+        .when(editorial & strong & (confidence >= SURE_EDIT), out("auto_apply", "editorial_edit", "field_update"))
+        .when(strong & trusted & (confidence >= SURE_HARVEST), out("auto_apply", "strong_match_harvest", "field_update"))
+        .otherwise(out("propose", F.concat(F.lit("review:"), derivation, F.lit(":"), decision), "enrichment"))
     )
 
 
+def match_hash(fields: dict[str, Column], defaults: dict[str, str]) -> Column:
+    """SHA-256 of the fields that are not empty, by name, as JSON; what is left out has its default."""
+    filled = {k: F.coalesce(F.when(F.trim(c) != "", c), F.lit(defaults[k])) if k in defaults else F.when(F.trim(c) != "", c) for k, c in fields.items()}
+    return F.sha2(F.to_json(F.struct(*[filled[k].alias(k) for k in sorted(filled)])), 256)
+
+
+def projected(winners: DataFrame, key: str, fields: list[str], before: DataFrame | None = None) -> DataFrame:
+    """(key, fields..., changed): winning values (key, field, winner) as one row a record.
+
+    ``changed`` says whether any field differs from the row in ``before``; a record that
+    is new has changed.
+    """
+    rows = winners.groupBy(key).pivot("field", fields).agg(F.first("winner"))
+    if before is None:
+        return rows.withColumn("changed", F.lit(True))
+    old = before.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("_old"))
+    joined = rows.join(old, key, "left")
+    return joined.withColumn("changed", ~F.col("_old").eqNullSafe(F.struct(*[F.col(f).alias(f) for f in fields]))).drop("_old")
+
+
+def attached_identifiers(claims: DataFrame) -> DataFrame:
+    """(ident, source_id, outcome): identifier claims (obs_id, ident, source_id) in order of obs_id.
+
+    The first source that claims an identifier has it; a later claim of another source
+    is a conflict, one of the same source changes nothing.
+    """
+    owner = claims.groupBy("ident").agg(F.min_by("source_id", F.struct("obs_id", "source_id")).alias("owner"), F.min(F.struct("obs_id", "source_id")).alias("first"))
+    joined = claims.join(owner, "ident")
+    outcome = F.when(F.col("source_id") != F.col("owner"), "conflict").when(F.struct("obs_id", "source_id") == F.col("first"), "attached").otherwise("noop")
+    return joined.select("obs_id", "ident", "source_id", outcome.alias("outcome"))
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each idempotency key: the first by ``order``, found by a combined minimum."""
     rest = [c for c in df.columns if c not in {*keys, *order}]
@@ -92,23 +237,36 @@ def daily_quota(usage: DataFrame, user: str, at: str, units: Column, limit: int)
 def nearest_pairs(left: DataFrame, right: DataFrame, key: str, tolerance_ms: int) -> DataFrame:
     """(key, left_id, right_id, gap): every left row in turn takes the nearest free right row.
 
-    Both have key, id and t (milliseconds). Candidates come from an equi-join on key and
-    time buckets of the tolerance, so only neighbours in time meet; the one-to-one
-    choice, which depends on order, is made per key over those candidates.
+    Both have key, id and t (milliseconds). The latest left row comes first, as a history
+    is read; of equally near right rows the latest is taken; a right row goes to one left
+    row. Right rows that none took have a null left_id and gap, left rows without one a
+    null right_id. Rows more than the tolerance apart cannot compete, so times are cut
+    into islands wherever such a gap is, and each island is paired by itself: a key of
+    any number of rows is many islands.
     """
-    wide = max(1, tolerance_ms)
-    l_rows = left.select(key, F.col("id").alias("left_id"), F.col("t").alias("lt"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("t") / wide) + i)).alias("slot"))
-    r_rows = right.select(key, F.col("id").alias("right_id"), F.col("t").alias("rt"), F.floor(F.col("t") / wide).alias("slot"))
-    near = l_rows.join(r_rows, [key, "slot"]).withColumn("gap", F.abs(F.col("lt") - F.col("rt"))).where(F.col("gap") <= tolerance_ms).select(key, "left_id", "lt", "right_id", "rt", "gap")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, found = set(), []
-        for left_id, own in rows.sort_values(["lt", "left_id", "gap", "rt", "right_id"]).groupby("left_id", sort=False):
-            free = own[~own["right_id"].isin(taken)]
-            if len(free):
-                r = free.iloc[0]
-                taken.add(r["right_id"])
-                found.append((r[key], left_id, r["right_id"], r["gap"]))
-        return pd.DataFrame(found, columns=[key, "left_id", "right_id", "gap"])
-
-    return near.groupBy(key).applyInPandas(choose, f"{key} long, left_id long, right_id long, gap long")
+    wide = F.lit(int(tolerance_ms))
+    rows = left.select(key, "id", "t", F.lit(0).alias("side")).unionByName(right.select(key, "id", "t", F.lit(1).alias("side"))).where(F.col("t").isNotNull())
+    by_time = Window.partitionBy(key).orderBy("t", "side", "id")
+    opens = F.coalesce(F.col("t") - F.lag("t").over(by_time) > wide, F.lit(True))
+    islands = rows.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def choose(own: pd.DataFrame) -> pd.DataFrame:
+        rights = own[own["side"] == 1].sort_values(["t", "id"])
+        times, ids, found = rights["t"].tolist(), rights["id"].tolist(), []
+        for left_id, t in own[own["side"] == 0].sort_values(["t", "id"], ascending=[False, True])[["id", "t"]].itertuples(index=False):
+            later = bisect_left(times, t)
+            near = [(times[later] - t, 0, later)] if later < len(times) else []
+            if later:
+                near.append((t - times[later - 1], 1, bisect_left(times, times[later - 1])))
+            gap, _, at = min(near, default=(tolerance_ms + 1, 0, 0))
+            if gap <= tolerance_ms:
+                found.append((left_id, ids.pop(at), gap))
+                times.pop(at)
+            else:
+                found.append((left_id, None, None))
+        found += [(None, right_id, None) for right_id in ids]
+        out = pd.DataFrame(found, columns=["left_id", "right_id", "gap"]).astype("Int64")
+        out.insert(0, key, own[key].iloc[0])
+        return out
+
+    return islands.groupBy(key, "island").applyInPandas(choose, f"{key} {rows.schema[key].dataType.simpleString()}, left_id long, right_id long, gap long")

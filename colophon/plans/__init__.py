@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import archive_queries, catalogue_queries, ledger_queries  # noqa: F401
+from . import archive_queries, catalogue_queries, ledger_queries, text_queries, works_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -113,10 +113,9 @@ def person_roles(spark, d):
 
 
 @query("""
-select o_custkey, p_type as area, count(distinct o_orderkey) as works from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey
-where o_custkey % 100 = 0 group by all""")
+select o_custkey, p_type as area, count(distinct o_orderkey) as works from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey group by all""")
 def person_areas(spark, d):
-    orders, lines, parts = table(spark, d, "orders").where("o_custkey % 100 = 0"), table(spark, d, "lineitem"), table(spark, d, "part")
+    orders, lines, parts = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
     joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
     return joined.groupBy("o_custkey", F.col("p_type").alias("area")).agg(F.count_distinct("o_orderkey").alias("works"))
 
@@ -203,11 +202,11 @@ def systematic_sample(spark, d):
 
 
 @query("""
-with v as (select distinct l_suppkey, cast(l_partkey as bigint) as p from lineitem where l_suppkey % 20 = 1),
+with v as (select distinct l_suppkey, cast(l_partkey as bigint) as p from lineitem),
 i as (select l_suppkey, p, p - row_number() over (partition by l_suppkey order by p) as island from v)
 select l_suppkey, min(p) as first, max(p) as last, count(*) as length from i group by l_suppkey, island having count(*) >= 2""")
 def consecutive_runs(spark, d):
-    lines = table(spark, d, "lineitem").where("l_suppkey % 20 = 1").select("l_suppkey", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     return C.runs(lines, ["l_suppkey"], "l_partkey", 2)
 
 
@@ -317,9 +316,9 @@ def timeline(spark, d):
 @query("""
 select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) as lines,
        coalesce((select string_agg(l_linenumber || ':' || l_partkey, ',' order by l_linenumber, l_partkey) from lineitem where l_orderkey = o_orderkey), '') as children
-from orders where o_orderkey % 50 = 0""")
+from orders""")
 def work_detail(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey")
+    orders = table(spark, d, "orders").select("o_orderkey")
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("c"), F.count("*").alias("lines"))
     text = F.array_join(F.transform("c", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_partkey"].cast("string"))), ",")
     return orders.join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce(text, F.lit("")).alias("children"))

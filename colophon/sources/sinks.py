@@ -20,6 +20,30 @@ def write_manifest(df: DataFrame, path: str, key: str, columns: list[str]) -> No
     with_row_hash(df.select(*columns), columns).orderBy(key).write.mode("errorifexists").json(path)
 
 
+def paged_text(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
+    """(key, text, pages): the pages of each work as one text, form feeds between, each under its number."""
+    rows = F.array_sort(F.collect_list(F.struct(page, text)))
+    joined = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("⟦ p."), r[page].cast("string"), F.lit(" ⟧\n"), r[text])), "\f")
+    return pages.groupBy(key).agg(rows.alias("rows"), F.count("*").alias("pages")).select(key, joined.alias("text"), "pages")
+
+
+def write_text_files(pages: DataFrame, path: str, key: str, page: str, text: str) -> None:
+    """``paged_text`` as text files, a folder for each work."""
+    paged_text(pages, key, page, text).select(key, F.col("text").alias("value")).write.mode("errorifexists").partitionBy(key).text(path)
+
+
+def write_approved(pages: DataFrame, path: str, key: str, columns: list[str]) -> str:
+    """Approved pages (approved is true) as JSON lines with row hashes, and the hash that pins them all.
+
+    The hash is of all rows' hashes in order of the key, of which the driver sees one
+    number only: rows are summed by bit_xor of their hashes' halves.
+    """
+    rows = with_row_hash(pages.where("approved").select(key, *columns), [key, *columns])
+    rows.write.mode("errorifexists").json(path)
+    pinned = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_hash")).alias("x"), F.bit_xor(F.xxhash64(F.reverse("row_hash"))).alias("y")).first()
+    return f"{pinned['n']}-{(pinned['x'] or 0) & (1 << 64) - 1:016x}{(pinned['y'] or 0) & (1 << 64) - 1:016x}"
+
+
 def upserted(current: DataFrame, incoming: DataFrame, keys: list[str], version: Column) -> DataFrame:
     """The newest row of each key from two tables of one schema; ties go to the incoming."""
     both = current.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
