@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 from typing import NamedTuple
@@ -13,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, kept
+from .words import chunks, cut, table_of
 
 #: Token positions that a seed reads (1) and ignores (0): fixed values.
 MASKS = ("11111111", "1101110111", "1110101101011", "11010011001010111")
@@ -31,7 +31,8 @@ TABLE_BITS = 22
 
 #: Scripts written without spaces: Thai to Lao, Myanmar, Khmer, kana, Chinese characters.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-_TOKEN = re.compile(rf"[^\W_{_UNSPACED}]+|(?=[^\W_])[{_UNSPACED}]")
+#: Letters and digits, apart from those of such scripts, and those.
+_RUNS, _SINGLE = table_of(rf"[^\W_{_UNSPACED}]"), table_of(rf"(?=[^\W_])[{_UNSPACED}]")
 _CACHE = 300_000
 
 
@@ -56,13 +57,16 @@ class _Tokens(dict):
         return value
 
 
-_TOKENS = _Tokens()
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """One hash a token of all texts in a row, and where each text's begin: lower-case runs of
+    letters and digits, single characters in scripts without spaces."""
+    words, known = cut(texts, _RUNS, _SINGLE), kept("tokens", _Tokens)
+    return np.fromiter(map(known.__getitem__, words.distinct), np.uint64, len(words.distinct))[words.index], words.bounds
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    """One hash a token: lower-case runs of letters and digits, single characters in scripts without spaces."""
-    words = _TOKEN.findall(text.lower()) if text else []
-    return np.fromiter(map(_TOKENS.__getitem__, words), np.uint64, len(words))
+    """One hash a token of a text."""
+    return tokens_of([text or ""])[0]
 
 
 def seed_hashes(tokens: np.ndarray, number: int) -> np.ndarray:
@@ -119,18 +123,33 @@ class SeedIndex:
 
     def overlaps(self, text: str | None) -> list[Overlap]:
         """The best verified overlap of a text with every item, by item."""
-        tokens = token_hashes(text)
-        pairs = []
-        for number in self.numbers:
-            seeds = seed_hashes(tokens, number)
-            at = np.flatnonzero(self.table[seeds >> np.uint64(64 - TABLE_BITS)])
-            low, high = np.searchsorted(self.hashes, seeds[at]), np.searchsorted(self.hashes, seeds[at], "right")
-            sizes = high - low
-            if sizes.any():
+        return next(self.overlaps_of([text]))
+
+    def overlaps_of(self, texts: list[str | None]) -> Iterator[list[Overlap]]:
+        """The same of many texts, whose seeds are looked up together."""
+        for some in chunks(texts):
+            tokens, bounds = tokens_of(some)
+            found = [np.zeros((0, 3), np.int64)]
+            for number in self.numbers:
+                seeds = seed_hashes(tokens, number)
+                at = np.flatnonzero(self.table[seeds >> np.uint64(64 - TABLE_BITS)])
+                text = np.searchsorted(bounds, at, "right") - 1
+                # A seed lies in one text.
+                inside = at + len((*MASKS, *DENSE)[number]) <= bounds[text + 1]
+                at, text = at[inside], text[inside]
+                low, high = np.searchsorted(self.hashes, seeds[at]), np.searchsorted(self.hashes, seeds[at], "right")
+                sizes = high - low
                 entry = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-                pairs.append(np.stack((self.owners[entry], np.repeat(at, sizes) - self.places[entry]), 1))
+                found.append(np.stack((np.repeat(text, sizes), self.owners[entry], np.repeat(at - bounds[text], sizes) - self.places[entry]), 1))
+            hits = np.concatenate(found)
+            hits = hits[np.argsort(hits[:, 0], kind="stable")]
+            edges = np.searchsorted(hits[:, 0], np.arange(len(some) + 1)).tolist()
+            for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                yield self._best(tokens[bounds[i] : bounds[i + 1]], hits[a:b, 1:]) if b > a else []
+
+    def _best(self, tokens: np.ndarray, pairs: np.ndarray) -> list[Overlap]:
         best: dict[tuple, Overlap] = {}
-        for owner, shift in self._enough(tokens, np.concatenate(pairs)) if pairs else ():
+        for owner, shift in self._enough(tokens, pairs):
             found = self._verified(tokens, owner, shift)
             if not found:
                 continue
@@ -179,12 +198,12 @@ class SeedIndex:
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[SeedIndex]:
-    """Seed indexes of blocks of the benchmark, each of bounded size."""
+    """Seed indexes of blocks of the benchmark, each of bounded size; the texts of one item_id are in one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        rows = items.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(blocks)) == block).collect()
         yield SeedIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
@@ -200,7 +219,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The benchmark goes to the tasks in blocks of bounded size and texts never move:
     every block is one pass over the documents. Null and empty texts and items give no
-    rows; items without an id are each searched; rows that repeat a doc_id too; other columns are not read.
+    rows; items without an id are each searched, and texts of one item_id are one item, of
+    which the best overlap stands; rows that repeat a doc_id are searched each by itself;
+    other columns are not read.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -211,7 +232,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc_id, *o) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for o in shared.value.overlaps(text.as_py())]
+                rows = [(doc_id, *o) for doc_id, found in zip(batch.column(0).to_pylist(), shared.value.overlaps_of(batch.column(1).to_pylist()), strict=True) for o in found]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", *Overlap._fields])
@@ -230,7 +251,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.overlaps(t.as_py()) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in shared.value.overlaps_of(batch.column(at).to_pylist())], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents
