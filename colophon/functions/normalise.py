@@ -238,8 +238,12 @@ def _person(name: str) -> dict | None:
     return {"family": family.strip(), "given": given.strip(), "key": " ".join(sorted(re.findall(r"\w+", key)))}
 
 
-#: A person's name as (family, given, key); null for what names nobody. The key is the same in any order of the names.
-person = _over_texts(_PERSON, _person)
+@F.pandas_udf(_PERSON)
+def person(text: pd.Series) -> pd.DataFrame:
+    """A person's name as struct(family, given, key), nulls for what names nobody; the key is the
+    same in any order of the names."""
+    none = dict.fromkeys(("family", "given", "key"))
+    return pd.DataFrame([(None if t is None else _person(t)) or none for t in text], columns=list(none), dtype=object)
 
 
 def authors(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def except_self_facets(df: DataFrame, dimensions: dict[str, tuple[Column, Column]]) -> DataFrame:
     """(dimension, key, cnt): each dimension counted under all selections but its own.
@@ -81,12 +83,29 @@ def same_key_groups(df: DataFrame, key: Column, id_column: str) -> DataFrame:
     return df.select(key.alias("dup_key"), F.col(id_column).alias("id")).where("dup_key <> ''").groupBy("dup_key").agg(F.count("*").alias("cnt"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("cnt > 1")
 
 
-def systematic_sample(df: DataFrame, group: list[str], order: list[Column], size: int = 9) -> DataFrame:
+def ranked_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``rn``, each row's place (from 1) in its group by ``order``, and the group's ``total``.
+
+    Rows are sorted by ranges of group and order, so a group of any size is spread over
+    many tasks; a place is the place within a task and the number of the group's rows in
+    the tasks before it, of which there is one row for each group and task. Order must
+    be total.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    at = F.monotonically_increasing_id()
+    sorted_rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = stored(sorted_rows.withColumns({"_p": F.shiftright(at, 33).cast("int"), "_i": at.bitwiseAND((1 << 33) - 1)}), "places")
+    sums = placed.groupBy(*group, "_p").agg(F.min("_i").alias("_low"), F.count("*").alias("_n"))
+    by_task = Window.partitionBy(*group).orderBy("_p")
+    before = sums.select(*group, "_p", (F.sum("_n").over(by_task) - F.col("_n") - F.col("_low")).alias("_base"), F.sum("_n").over(Window.partitionBy(*group)).alias("total"))
+    return placed.join(before, [*group, "_p"]).withColumn("rn", (F.col("_base") + F.col("_i") + 1).cast("int")).drop("_p", "_i", "_base")
+
+
+def systematic_sample(df: DataFrame, group: list[str], order: list[str], size: int = 9) -> DataFrame:
     """At most ``size`` rows of each group at even steps of their order."""
-    ordered = Window.partitionBy(*group).orderBy(*order)
-    numbered = df.withColumns({"rn": F.row_number().over(ordered), "total": F.count("*").over(Window.partitionBy(*group))})
     step = F.greatest(F.lit(1), F.floor(F.col("total") / size).cast("int"))
-    return numbered.where(F.col("rn") % step == 0).where(F.col("rn") / step <= size)
+    return ranked_within(df, group, order).where(F.col("rn") % step == 0).where(F.col("rn") / step <= size)
 
 
 def runs(df: DataFrame, group: list[str], value: str, least: int = 1) -> DataFrame:

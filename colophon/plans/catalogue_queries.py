@@ -198,7 +198,7 @@ def keyset_page(spark, d):
 with n as (select source, doc_id, row_number() over (partition by source order by doc_id) as rn, count(*) over (partition by source) as total from documents)
 select source, doc_id, cast(rn as int) as rn from n where rn % greatest(1, total // 9) = 0 and rn / greatest(1, total // 9) <= 9""")
 def systematic_sample(spark, d):
-    return C.systematic_sample(table(spark, d, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")]).select("source", "doc_id", "rn")
+    return C.systematic_sample(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"]).select("source", "doc_id", "rn")
 
 
 @query("""
