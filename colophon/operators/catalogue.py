@@ -122,3 +122,47 @@ def changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) ->
     joined = b.join(a, F.col("b_key") == F.col("a_key"), "full")
     change = F.when(F.col("b_key").isNull(), "added").when(F.col("a_key").isNull(), "removed").when(~F.col("b_row").eqNullSafe(F.col("a_row")), "updated")
     return joined.select(F.coalesce("b_key", "a_key").alias(key), change.alias("change")).where("change is not null")
+
+
+def change_lines(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, op, line): what became of each field of rows in both versions: add, update or clear."""
+    text = lambda f, side: F.col(f"{side}.{f}").cast("string")
+    joined = before.alias("b").join(after.alias("a"), F.col(f"b.{key}") == F.col(f"a.{key}"))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), text(f, "b").alias("old"), text(f, "a").alias("new")) for f in fields])
+    rows = joined.select(F.col(f"a.{key}").alias(key), F.explode(cells).alias("c")).where(~F.col("c.old").eqNullSafe(F.col("c.new")))
+    op = F.when(F.col("c.old").isNull(), "add").when(F.col("c.new").isNull(), "clear").otherwise("update")
+    line = F.concat(F.col("c.field"), F.lit(": "), F.coalesce("c.old", F.lit("(none)")), F.lit(" -> "), F.coalesce("c.new", F.lit("(none)")))
+    return rows.select(key, F.col("c.field").alias("field"), op.alias("op"), line.alias("line"))
+
+
+def violations(name: str, rows: DataFrame, id_column: str, most: int = 5) -> DataFrame:
+    """(rule, violations, samples): how many rows break a rule, and the ids of the first few."""
+    few = rows.select(F.col(id_column).alias("id")).orderBy("id").limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("samples"))
+    return rows.agg(F.lit(name).alias("rule"), F.count("*").alias("violations")).join(few)
+
+
+def filled_by_priority(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(key, fields...): of every field the first value that is not null, by ``order``."""
+    at = F.struct(*order)
+    return rows.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields])
+
+
+def renamed(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (slug, ...) under their new slugs, and redirects (old_slug, new_slug), by a plan
+    (old_slug, new_slug, state) of which only ``rename`` is done."""
+    moves = plan.where("state = 'rename'").select(F.col("old_slug").alias("slug"), "new_slug")
+    done = rows.join(moves, "slug", "left").withColumn("slug", F.coalesce("new_slug", "slug")).select(*rows.columns)
+    return done, rows.select("slug").join(moves, "slug").select(F.col("slug").alias("old_slug"), "new_slug")
+
+
+def nested_children(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
+    """``parents`` with an array column for each kind of child (key, fields...), empty where there is none.
+
+    Each kind is gathered before it is joined, sorted by its fields.
+    """
+    for name, df in children.items():
+        fields = [c for c in df.columns if c != key]
+        gathered = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        kind = gathered.schema[name].dataType.simpleString()
+        parents = parents.join(gathered, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return parents

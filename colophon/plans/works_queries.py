@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
+from ..operators import catalogue as C
 from ..operators import graph as G
 from ..operators import works as W
 from ..schema import table
+from ..sources.feeds import missing_runs as missing_runs_of
 from .registry import query
 
 #: Orders as works, suppliers' lines as files: the mapping that these queries share.
@@ -290,3 +292,61 @@ def quota_running(spark, d):
     day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.when(F.col("event_type") == "purchase", 50).otherwise(1)).over(day)
     return table(spark, d, "events").select("event_id", used.alias("used")).withColumn("allowed", F.col("used") <= 60)
+
+
+@query("""
+with o as (select o_orderkey, o_orderstatus, case when o_orderkey % 5 > 0 then o_orderpriority end as p from orders where o_orderkey % 11 <> 3),
+n as (select o_orderkey, case when o_orderkey % 13 = 1 then 'X' else o_orderstatus end as s, case when o_orderkey % 7 > 0 then o_orderpriority end as p from orders),
+c as (select o_orderkey, 'o_orderstatus' as field, o_orderstatus as a, s as b from o join n using (o_orderkey) union all select o_orderkey, 'p', o.p, n.p from o join n using (o_orderkey))
+select o_orderkey, field, case when a is null then 'add' when b is null then 'clear' else 'update' end as op, field || ': ' || coalesce(a, '(none)') || ' -> ' || coalesce(b, '(none)') as line from c where a is distinct from b""")
+def change_lines(spark, d):
+    o = table(spark, d, "orders")
+    before = o.where("o_orderkey % 11 <> 3").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("p"))
+    after = o.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 1, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderpriority")).alias("p"))
+    return C.change_lines(before, after, "o_orderkey", ["o_orderstatus", "p"])
+
+
+@query("""
+select 'order_without_line' as rule, count(*) as violations, coalesce((select string_agg(k::varchar, ',' order by k) from (select o_orderkey as k from orders where o_orderkey not in (select l_orderkey from lineitem) order by 1 limit 5)), '') as samples from orders where o_orderkey not in (select l_orderkey from lineitem)
+union all select 'dear_order', count(*), coalesce((select string_agg(k::varchar, ',' order by k) from (select o_orderkey as k from orders where o_totalprice > 400000 order by 1 limit 5)), '') from orders where o_totalprice > 400000""")
+def invariant_samples(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return C.violations("order_without_line", o.join(l, "o_orderkey", "left_anti"), "o_orderkey").union(C.violations("dear_order", o.where("o_totalprice > 400000"), "o_orderkey"))
+
+
+@query("""
+with e as (select user_id, event_id, case when event_id % 3 = 0 then event_type end as kind, case when event_id % 4 = 0 then props end as props from events)
+select user_id, arg_min(kind, event_id) filter (kind is not null) as kind, arg_min(props, event_id) filter (props is not null) as props from e group by 1""")
+def gap_filled(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 4 == 0, F.col("props")).alias("props"))
+    return C.filled_by_priority(e, "user_id", ["event_id"], ["kind", "props"])
+
+
+@query("""
+with r as (select user_id as record, cast(day(ts) as int) as run from events), l as (select record, max(run) as last from r group by 1)
+select record, (select count(distinct run) from r where run > last) as missing from l""")
+def missing_runs(spark, d):
+    seen = table(spark, d, "events").select(F.col("user_id").alias("record"), F.dayofmonth("ts").alias("run"))
+    return missing_runs_of(seen.select("run"), seen)
+
+
+@query("""
+select o_orderkey, coalesce((select string_agg(l_linenumber || '/' || l_quantity::int, ',' order by l_linenumber, l_quantity::int) from lineitem where l_orderkey = o_orderkey), '') as lines,
+  coalesce((select string_agg(s, ',' order by s) from (select distinct l_suppkey as s from lineitem where l_orderkey = o_orderkey)), '') as suppliers from orders""")
+def work_children(spark, d):
+    l = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    kinds = {"lines": l.select("o_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q")), "suppliers": l.select("o_orderkey", "l_suppkey").distinct()}
+    nested = C.nested_children(table(spark, d, "orders").select("o_orderkey"), kinds, "o_orderkey")
+    lines = F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit("/"), x["q"].cast("string"))), ",")
+    return nested.select("o_orderkey", lines.alias("lines"), F.array_join(F.transform("suppliers", lambda x: x["l_suppkey"].cast("string")), ",").alias("suppliers"))
+
+
+@query("""
+with p as (select s_suppkey, lower(replace(s_name, '#', '-')) as old_slug, 'sup-' || (s_suppkey % 90) as new_slug from supplier), n as (select new_slug, count(*) as n from p group by 1)
+select case when n = 1 and new_slug <> old_slug then new_slug else old_slug end as slug, s_suppkey, n = 1 and new_slug <> old_slug as redirected from p join n using (new_slug)""")
+def reslug_applied(spark, d):
+    p = table(spark, d, "supplier").select("s_suppkey", F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("old_slug"), F.concat(F.lit("sup-"), (F.col("s_suppkey") % 90).cast("string")).alias("new_slug"))
+    counts = p.groupBy("new_slug").agg(F.count("*").alias("n"))
+    plan = p.join(counts, "new_slug").withColumn("state", F.when((F.col("n") == 1) & (F.col("new_slug") != F.col("old_slug")), "rename").otherwise("refuse"))
+    done, redirects = C.renamed(p.select(F.col("old_slug").alias("slug"), "s_suppkey"), plan)
+    return done.join(redirects.select(F.col("new_slug").alias("slug"), F.lit(True).alias("redirected")), "slug", "left").select("slug", "s_suppkey", F.coalesce("redirected", F.lit(False)).alias("redirected"))

@@ -45,3 +45,26 @@ def paged_texts(spark: SparkSession, path: str) -> DataFrame:
     text = F.when(F.instr("part", "\u0002") > 0, F.substring_index("part", "\u0002", -1)).otherwise(F.col("part"))
     rows = whole.select("path", F.explode(parts).alias("part")).select("path", page.alias("page"), F.trim(text, F.lit("\r\n")).alias("text"))
     return rows.where("page > 0 or trim(text) <> ''")
+
+
+def text_variants(spark: SparkSession, path: str) -> DataFrame:
+    """(scan, variant, path): text files that stand beside a scan and are named after it.
+
+    ``book.pdf`` has the variants ``book.txt`` (empty name) and ``book.<variant>.txt``.
+    Only names are read. A text without its scan is left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    stem = F.regexp_replace("path", r"\.pdf$", "")
+    scans = files.where(F.col("path").endswith(".pdf")).select(F.col("path").alias("scan"), stem.alias("stem"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    # A scan's own name may have dots, so every cut of a text's name is tried.
+    cuts = F.transform(F.sequence(F.lit(1), F.size(F.split(name, r"\."))), lambda i: F.array_join(F.slice(F.split(name, r"\."), F.lit(1), i), "."))
+    texts = files.where(F.col("path").endswith(".txt")).withColumn("cut", F.explode(cuts)).withColumn("stem", F.concat(F.regexp_extract("path", r"^(.*/)", 1), F.col("cut")))
+    found = scans.join(texts, "stem")
+    rest = F.substr(F.regexp_extract("path", r"([^/]*)$", 1), F.length("cut") + 1)
+    return found.select("scan", F.regexp_replace(rest, r"^\.|\.?txt$", "").alias("variant"), "path")
+
+
+def restored(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables that ``sinks.dump`` wrote, by name."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

@@ -62,3 +62,10 @@ def ris(kind: Column, fields: dict[str, Column]) -> Column:
     """An RIS record from two-letter tags; null and empty fields are left out."""
     lines = [F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{tag}  - "), c.cast("string"))) for tag, c in fields.items()]
     return F.concat_ws("\n", F.concat(F.lit("TY  - "), kind), *lines, F.lit("ER  - "))
+
+
+def dump(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Write whole tables below a folder, none over another, and return their numbers of rows."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    return {name: df.sparkSession.read.parquet(f"{folder}/{name}").count() for name, df in tables.items()}

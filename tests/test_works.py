@@ -238,3 +238,29 @@ def test_exports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "x")).count() == 2
     sinks.write_text_files(pages.where("k = 'a'"), str(tmp_path / "t"), "k", "page", "text")
     assert (tmp_path / "t" / "k=a").is_dir()
+
+
+def test_feeds_resume_and_fail_alone(spark, tmp_path):
+    from colophon.sources import feeds, readers
+
+    def broken():
+        raise RuntimeError("no network")
+
+    results, total = feeds.run_feeds({"a": lambda: 3, "b": broken, "c": lambda: 4})
+    assert total == 7 and [(r.feed, r.rows, r.error) for r in results] == [("a", 3, None), ("b", 0, "RuntimeError: no network"), ("c", 4, None)]
+    taken = []
+    take = lambda df: taken.append(sorted(r["id"] for r in df.collect()))
+    rows = spark.range(10)
+    assert feeds.import_from(rows, "id", str(tmp_path), "j", take, limit=4) == 4
+    with pytest.raises(RuntimeError):
+        feeds.import_from(rows, "id", str(tmp_path), "j", lambda df: broken())
+    assert feeds.import_from(rows, "id", str(tmp_path), "j", take) == 6 and feeds.import_from(rows, "id", str(tmp_path), "j", take) == 0
+    assert taken == [[0, 1, 2, 3], [4, 5, 6, 7, 8, 9]] and feeds.import_from(rows, "id", str(tmp_path), "other", take) == 10
+    for name in ("x/a.pdf", "x/a.txt", "x/a.fine.txt", "x/b.txt", "x/c.d.pdf", "x/c.d.v1.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("t")
+    found = readers.text_variants(spark, str(tmp_path / "x"))
+    assert sorted((r["scan"].rsplit("/", 1)[1], r["variant"]) for r in found.collect()) == [("a.pdf", ""), ("a.pdf", "fine"), ("c.d.pdf", "v1")]
+    assert sinks.dump({"n": rows}, str(tmp_path / "d")) == {"n": 10}
+    assert readers.restored(spark, str(tmp_path / "d"), ["n"])["n"].count() == 10
+    assert S.search(spark.createDataFrame([(1, "one two")], "doc_id int, text string"), "soft", "onn").count() == 1
