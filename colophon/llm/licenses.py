@@ -104,7 +104,7 @@ def normalised(sentence: Column) -> Column:
 
 
 def licence_sentences(documents: DataFrame, sentences=SENTENCES) -> DataFrame:
-    """(doc_id, sentence_no, line_no, sentence_id): each known sentence of each document.
+    """(doc_id, text_hash, sentence_no, line_no, sentence_id): each known sentence of each text.
 
     Sentences end at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, and at
     blank lines. A sentence of several lines is looked up whole (line_no 0) and line
@@ -120,12 +120,12 @@ def licence_sentences(documents: DataFrame, sentences=SENTENCES) -> DataFrame:
     return (
         documents.select("doc_id", "text")
         .where(F.col("text").rlike(anchor))
-        .select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("sentence_no", "whole"))
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(marked, "\u0001")).alias("sentence_no", "whole"))
         .where(F.col("whole").rlike(anchor))
-        .select("doc_id", "sentence_no", F.posexplode(parts).alias("line_no", "part"))
-        .select("doc_id", "sentence_no", "line_no", normalised(F.col("part")).alias("sentence"))
+        .select("doc_id", "text_hash", "sentence_no", F.posexplode(parts).alias("line_no", "part"))
+        .select("doc_id", "text_hash", "sentence_no", "line_no", normalised(F.col("part")).alias("sentence"))
         .join(F.broadcast(known), "sentence")
-        .select("doc_id", "sentence_no", "line_no", "sentence_id")
+        .select("doc_id", "text_hash", "sentence_no", "line_no", "sentence_id")
     )
 
 
@@ -139,12 +139,10 @@ def scan_licences(documents: DataFrame, sentences=SENTENCES, rules=LICENCE_RULES
     of the last.
 
     The sentence table is a constant of the program, so its broadcast is bounded.
-    Null and empty texts, and an empty table, give no rows; rows that repeat a doc_id
-    are read as one document; other columns are not read.
+    Null and empty texts, and an empty table, give no rows; of rows that repeat a doc_id
+    each different text is read by itself; other columns are not read.
     """
-    hits = licence_sentences(documents, sentences).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("sentence_no", "line_no", "sentence_id"))).alias("hits"))
-    found = hits.withColumn("sequence", F.concat(F.lit(" "), F.array_join(F.transform("hits", lambda h: h["sentence_id"]), " "), F.lit(" ")))
-
+    found = licence_sentences(documents, sentences).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("sentence_no", "line_no", "sentence_id"))).alias("hits"))
     # The rules as one constant array, so that the plan does not grow with their number.
     table = F.array(
         *[
@@ -152,12 +150,13 @@ def scan_licences(documents: DataFrame, sentences=SENTENCES, rules=LICENCE_RULES
                 F.lit(r.rule).alias("rule"),
                 F.lit(r.licence).alias("licence"),
                 F.array(*[F.lit(s) for s in r.steps]).alias("steps"),
-                F.lit(" " + " (?:.* )?".join(re.escape(s) for s in r.steps) + " ").alias("pattern"),
             )
             for r in rules
         ]
     )
-    met = found.withColumn("met", F.filter(table, lambda r: F.rlike(F.col("sequence"), r["pattern"])))
+    # One pass over the sequence: how many of a rule's steps it has had so far, in order.
+    taken = lambda r: F.aggregate("hits", F.lit(0), lambda n, h: n + F.coalesce(F.get(r["steps"], n) == h["sentence_id"], F.lit(False)).cast("int"))
+    met = found.withColumn("met", F.filter(table, lambda r: taken(r) == F.size(r["steps"])))
     contained = lambda r: F.exists("met", lambda x: (F.size(x["steps"]) > F.size(r["steps"])) & (F.size(F.array_except(r["steps"], x["steps"])) == 0))
     rule = F.col("r")
     at = lambda step: F.transform(F.filter("hits", lambda h: h["sentence_id"] == step), lambda h: h["sentence_no"])

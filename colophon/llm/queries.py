@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .decontaminate import contamination
-from .edit_fingerprint import fingerprint_documents
+from .edit_fingerprint import classed_documents
 from .language import identify_languages
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
 from .packing import pack_documents
@@ -14,7 +14,7 @@ from .quotation import reply_ordered
 from .simhash import near_duplicates
 from .token_index import round_trip
 from .toxicity import judge_toxicity
-from .url_filter import RULES, judge_urls
+from .url_filter import ENTITIES, RULES, judge_urls
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -25,42 +25,52 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules and by what its aliases are."""
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the component of those within 4 bits of each other."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by its nearest labelled examples."""
     return judge_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, in reply order."""
     return reply_ordered(read(spark, sf_dir, "conversations"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of 2048 ids."""
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, with the spans of mixed texts."""
     return identify_languages(read(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence rule that a document's sentences meet."""
     return scan_licences(read(spark, sf_dir, "documents"))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(read(spark, sf_dir, "documents"))
+    """Every document's fingerprint beside those of its edited text and the next one, and its class."""
+    return classed_documents(read(spark, sf_dir, "documents"))
 
 
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as wavelet matrices and read back."""
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
@@ -89,6 +99,12 @@ def _url_sql() -> str:
     action = "case " + " ".join(f"when {fits[r]} then '{r.action}'" for r in rules) + " end"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     after = "case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end"
+    found = lambda pattern: f"regexp_extract(tag, '(?is){pattern}', 1)"
+    quoted = lambda name: found(rf"""[\s"''/]{name}\s*=\s*["'']([^"'']*)["'']""")
+    attribute = lambda name: rf"""case when {quoted(name)} <> '' then {quoted(name)} else {found(rf"""[\s"''/]{name}\s*=\s*([^\s"''>]+)""")} end"""
+    decoded = "raw"
+    for entity, plain in ENTITIES:
+        decoded = f"replace({decoded}, {_text(entity)}, {_text(plain)})"
     return rf"""
     with recursive
     split as (select page_id, url, html, coalesce({after}, '') as rest from pages),
@@ -102,13 +118,11 @@ def _url_sql() -> str:
       select url, host, path, address, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag
       from parts where regexp_matches(html, '(?i)\b(?:canonical|refresh)\b')),
     targets as (
-      select *, trim(case
-          when regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') then
-            case when regexp_extract(tag, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) <> '' then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1)
-                 else regexp_extract(tag, '(?is)\bhref\s*=\s*([^\s"''>]+)', 1) end
-          when regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s;]+)', 1)
-        end) as target
-      from tags),
+      select *, trim({decoded}) as target
+      from (select *, case
+          when regexp_matches(tag, '(?i)^<link\b') and regexp_matches({attribute("rel")}, '(?i)(^|\s)canonical(\s|$)') then {attribute("href")}
+          when regexp_matches(tag, '(?i)^<meta\b') and regexp_matches({attribute("http-equiv")}, '(?i)^\s*refresh\s*$') then regexp_extract(tag, '(?is)[\s"'';]url\s*=\s*["'']?([^"''>\s;]+)', 1)
+        end as raw from tags)),
     whole as (
       select address as a, case
           when strpos(target, '://') > 0 then target
@@ -152,20 +166,20 @@ def _licence_sql() -> str:
     return rf"""
     with known(sentence_id, sentence) as (values {", ".join(f"({_text(a)}, {_text(b)})" for a, b in known)}),
     wholes as (
-      select doc_id, string_split(regexp_replace(text, '([.!?:;])[ \t\r\n]+|(?:[ \t\r]*\n){{2,}}', '\1' || chr(1), 'g'), chr(1)) as wholes
+      select doc_id, md5(text) as text_hash, string_split(regexp_replace(text, '([.!?:;])[ \t\r\n]+|(?:[ \t\r]*\n){{2,}}', '\1' || chr(1), 'g'), chr(1)) as wholes
       from documents where regexp_matches(text, '{anchor}')),
-    numbered as (select doc_id, generate_subscripts(wholes, 1) - 1 as sentence_no, unnest(wholes) as whole from wholes),
+    numbered as (select doc_id, text_hash, generate_subscripts(wholes, 1) - 1 as sentence_no, unnest(wholes) as whole from wholes),
     parts as (
-      select doc_id, sentence_no, case when regexp_matches(whole, '[\r\n]') then list_concat([whole], regexp_split_to_array(whole, '[\r\n]+')) else [whole] end as parts
+      select doc_id, text_hash, sentence_no, case when regexp_matches(whole, '[\r\n]') then list_concat([whole], regexp_split_to_array(whole, '[\r\n]+')) else [whole] end as parts
       from numbered where regexp_matches(whole, '{anchor}')),
-    lines as (select doc_id, sentence_no, generate_subscripts(parts, 1) - 1 as line_no, unnest(parts) as part from parts),
+    lines as (select doc_id, text_hash, sentence_no, generate_subscripts(parts, 1) - 1 as line_no, unnest(parts) as part from parts),
     hits as (
-      select distinct doc_id, sentence_no, line_no, sentence_id
+      select distinct doc_id, text_hash, sentence_no, line_no, sentence_id
       from lines join known on sentence = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
     found as (
       select doc_id, list({{'sentence_no': sentence_no::int, 'sentence_id': sentence_id}} order by sentence_no, line_no, sentence_id) as hits,
              ' ' || string_agg(sentence_id, ' ' order by sentence_no, line_no, sentence_id) || ' ' as sequence
-      from hits group by doc_id)
+      from hits group by doc_id, text_hash)
     {" union all ".join(rows)}"""
 
 
@@ -173,12 +187,18 @@ def _quotation_sql() -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     mark = r"'^[ \t]*((?:>[ \t]?)*)'"
     level = f"length(regexp_extract({{0}}, {mark}, 1)) - length(replace(regexp_extract({{0}}, {mark}, 1), '>', ''))"
-    normal = r"trim(regexp_replace(" + lower.format(f"regexp_replace(raw, {mark}, '')") + r", '[ \t\r\n\x0B\f]+', ' ', 'g'))"
+    normal = r"trim(regexp_replace(" + lower.format("raw") + r", '[ \t\r\n\x0B\f]+', ' ', 'g'))"
     return rf"""
     with recursive
     cut as (select conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') as lines from conversations),
-    raw as (select conv_id, turn, unnest(lines) as raw from cut where conv_id is not null and turn is not null),
-    passages as (select distinct conv_id, turn, {level.format("raw")} as level, sha256({normal}) as passage from raw where {normal} <> ''),
+    bare as (select conv_id, turn, list_transform(lines, lambda x: {level.format("x")}) as levels, list_transform(lines, lambda x: regexp_replace(x, {mark}, '')) as bare
+             from cut where conv_id is not null and turn is not null),
+    joined as (
+      select *, array_to_string(list_transform(range(1, len(bare) + 1), lambda i: case when i = 1 or levels[i - 1] <> levels[i] or trim(bare[i - 1], ' ') = '' then chr(1) || levels[i] || chr(2) else ' ' end || bare[i]), '') as whole from bare),
+    pieces as (
+      select conv_id, turn, unnest(levels) as level, unnest(bare) as raw from bare
+      union all select conv_id, turn, cast(split_part(piece, chr(2), 1) as int), split_part(piece, chr(2), 2) from (select conv_id, turn, unnest(list_filter(string_split(whole, chr(1)), lambda x: x <> '')) as piece from joined)),
+    passages as (select distinct conv_id, turn, level, sha256({normal}) as passage from pieces where {normal} <> ''),
     origins as (select conv_id, level, passage, min(turn) as origin from passages group by all),
     votes as (
       select p.conv_id, p.turn, p.level, o.origin, count(*) as passages

@@ -18,25 +18,42 @@ def normalised(passage: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(passage), r"[ \t\r\n\u000B\f]+", " "))
 
 
-def message_lines(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, line_no, level, line): every line with its quote level, marks taken off."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "raw"))
-    marks = F.regexp_extract("raw", _QUOTE, 1)
-    return lines.select("conv_id", "turn", "line_no", (F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))).alias("level"), F.regexp_replace("raw", _QUOTE, "").alias("line"))
+def _level(line: Column) -> Column:
+    marks = F.regexp_extract(line, _QUOTE, 1)
+    return F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
+
+
+def message_passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, passage): the normalised passages of every message, with their quote level.
+
+    A passage is a line, or a paragraph: lines in a row of one level, up to a blank one.
+    A paragraph is the same however its lines are wrapped.
+    """
+    cut = messages.select("conv_id", "turn", F.split("text", r"\r?\n").alias("lines"))
+    marked = cut.select("conv_id", "turn", F.transform("lines", _level).alias("levels"), F.transform("lines", lambda x: F.regexp_replace(F.regexp_replace(x, _QUOTE, ""), "[\u0001\u0002]", "")).alias("bare"))
+    # A paragraph begins where the level changes or the line before is blank.
+    before = lambda array, i: F.get(F.col(array), i - 1)
+    opens = lambda i: (i == 0) | ~before("levels", i).eqNullSafe(F.get("levels", i)) | (F.trim(F.coalesce(before("bare", i), F.lit(""))) == "")
+    start = lambda i: F.concat(F.lit("\u0001"), F.get("levels", i).cast("string"), F.lit("\u0002"))
+    joined = F.array_join(F.transform("bare", lambda x, i: F.concat(F.when(opens(i), start(i)).otherwise(F.lit(" ")), x)), "")
+    paragraphs = F.transform(F.filter(F.split(joined, "\u0001"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "\u0002", 1).cast("int").alias("level"), F.substring_index(p, "\u0002", -1).alias("text")))
+    lines = F.zip_with("levels", "bare", lambda n, x: F.struct(n.alias("level"), x.alias("text")))
+    rows = marked.select("conv_id", "turn", F.explode(F.concat(lines, paragraphs)).alias("p"))
+    return rows.select("conv_id", "turn", "p.level", normalised(F.col("p.text")).alias("passage")).where("passage != ''").distinct()
 
 
 def quotation_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, passages, level): the message that each message quotes.
 
-    A passage is a quoted line, normalised and hashed by SHA-256 with the level it had:
-    a line quoted at level k was at level k - 1 in the message quoted. It belongs to the
-    first message of its conversation that holds it, if that is earlier. The parent is
-    the message of most of a message's passages at their lowest level, the latest among
-    equals. Passages are counted per message before they are joined, and the side
-    joined to has one row per passage, so one very common passage costs a row a message.
+    A passage is a quoted line or paragraph, normalised and hashed by SHA-256 with the
+    level it had: what is quoted at level k was at level k - 1 in the message quoted. It
+    belongs to the first message of its conversation that holds it, if that is earlier.
+    The parent is the message of most of a message's passages at their lowest level, the
+    latest among equals. Passages are counted per message before they are joined, and the
+    side joined to has one row per passage, so one very common passage costs a row a
+    message.
     """
-    lines = message_lines(messages).select("conv_id", "turn", "level", normalised(F.col("line")).alias("passage")).where("passage != ''")
-    hashed = lines.select("conv_id", "turn", "level", F.sha2("passage", 256).alias("passage_hash")).distinct()
+    hashed = message_passages(messages).select("conv_id", "turn", "level", F.sha2("passage", 256).alias("passage_hash")).distinct()
     origin = hashed.groupBy("conv_id", F.col("level").alias("o_level"), "passage_hash").agg(F.min("turn").alias("origin"))
     quotes = hashed.where("level > 0").withColumn("o_level", F.col("level") - 1)
     found = quotes.join(origin, ["conv_id", "o_level", "passage_hash"]).where("origin < turn")
@@ -65,8 +82,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
 
     Columns: conv_id, thread_turn, turn, role, parent_turn, depth, n_quoted_lines,
     max_level, text (the lines of level 0, ends trimmed). Sorted by conv_id, thread_turn
-    and turn, a thread stands together and a reply after what it answers; a message
-    that quotes nothing found starts a thread of its own.
+    and turn, a thread stands together and a reply after what it answers, replies to one
+    message in the order of their turns; a message that quotes nothing found starts a
+    thread of its own.
 
     Null texts have no lines and an empty text; messages with a null conv_id or turn
     are returned, each a thread, but linked to none; of rows that repeat a conv_id and
@@ -75,15 +93,13 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     # Parsed and linked once; both are read twice.
     links = stored(quotation_links(messages.where("conv_id is not null and turn is not null")), "quotations")
     lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
-    marks = lambda line: F.regexp_extract(line, _QUOTE, 1)
-    level = lambda line: F.length(marks(line)) - F.length(F.replace(marks(line), F.lit(">"), F.lit("")))
     bare = messages.select(
         "conv_id",
         "turn",
         "role",
-        F.trim(F.array_join(F.filter(lines, lambda x: level(x) == 0), "\n"), F.lit(" \t\r\n")).alias("text"),
-        F.size(F.filter(lines, lambda x: level(x) > 0)).alias("n_quoted_lines"),
-        F.array_max(F.transform(lines, level)).alias("max_level"),
+        F.trim(F.array_join(F.filter(lines, lambda x: _level(x) == 0), "\n"), F.lit(" \t\r\n")).alias("text"),
+        F.size(F.filter(lines, lambda x: _level(x) > 0)).alias("n_quoted_lines"),
+        F.array_max(F.transform(lines, _level)).alias("max_level"),
     )
     return (
         bare.join(links.select("conv_id", "turn", "parent_turn"), ["conv_id", "turn"], "left")

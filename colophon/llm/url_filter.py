@@ -89,30 +89,40 @@ def with_rule(urls: DataFrame, rules: Iterable[Rule], host: str = "host", path:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    quoted = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    bare = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)", 1)
+    """An attribute's value; ``data-href`` is no ``href``."""
+    quoted = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    bare = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*([^\s\"'>]+)", 1)
     return F.when(quoted != "", quoted).otherwise(bare)
 
 
+#: Entities that addresses are written with, ampersands last: fixed values.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _decoded(text: Column) -> Column:
+    for entity, plain in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return text
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): addresses that a page's canonical link or refresh redirect makes one.
 
-    Targets may be absolute, relative to the scheme (``//host``), to the host (``/x``)
+    ``rel`` may name other relations too; entities in targets are decoded. Targets may be absolute, relative to the scheme (``//host``), to the host (``/x``)
     or to the folder of the page. Pages without an address give none.
     """
     url, html = F.col(url), F.col(html)
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
     tag = F.col("tag")
-    canonical = F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), _attribute(tag, "href"))
-    refresh = F.when(
-        tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"),
-        F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s;]+)", 1),
-    )
+    is_canonical = tag.rlike(r"(?i)^<link\b") & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    is_refresh = tag.rlike(r"(?i)^<meta\b") & _attribute(tag, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    canonical = F.when(is_canonical, _attribute(tag, "href"))
+    refresh = F.when(is_refresh, F.regexp_extract(tag, r"(?is)[\s\"';]url\s*=\s*[\"']?([^\"'>\s;]+)", 1))
     found = (
         pages.select(url.alias("url"), html.alias("html"))
         .where(html.isNotNull() & html.rlike(r"(?i)\bcanonical\b|\brefresh\b"))
         .select("url", F.explode(tags).alias("tag"))
-        .select("url", F.trim(F.coalesce(canonical, refresh)).alias("target"))
+        .select("url", F.trim(_decoded(F.coalesce(canonical, refresh))).alias("target"))
         .where("target != ''")
     )
     target = F.col("target")
