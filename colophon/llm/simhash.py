@@ -112,7 +112,9 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
         while frontier and len(waiting):
             one = frontier.pop()
             near = _linked(waiting, one)
-            links += [(int(one), int(x)) for x in waiting[near]]
+            # A chain through what is near, as links to one would make it a hub.
+            chain = [int(one), *waiting[near].tolist()]
+            links += zip(chain, chain[1:], strict=False)
             frontier.extend(waiting[near])
             waiting = waiting[~near]
     return links
