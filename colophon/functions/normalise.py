@@ -55,6 +55,7 @@ def _title_key(text: str) -> str:
 
 #: What two spellings of a title share: letters and digits, no marks.
 title_key = _over_texts(StringType(), _title_key)
+#: Volume marks at the end of a title: fixed values.
 _VOLUME = r"(乾巻|坤巻|乾|坤|上巻|下巻|上|下|前編|後編|[全]?[一二三四五六七八九十百\d]+巻|巻[上中下一二三四五六七八九十\d]*|[一二三四五六七八九十\d]+冊|第[一二三四五六七八九十\d]+冊?)$"
 #: The same of a work's title without what is in brackets, and without a volume at its end.
 core_title_key = _over_texts(StringType(), lambda t: _title_key(re.sub(_VOLUME, "", re.sub(r"\s+", "", re.sub(r"[（(][^）)]*[)）]", "", t)))))

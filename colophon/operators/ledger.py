@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -250,10 +249,11 @@ def nearest_pairs(left: DataFrame, right: DataFrame, key: str, tolerance_ms: int
     opens = F.coalesce(F.col("t") - F.lag("t").over(by_time) > wide, F.lit(True))
     islands = rows.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def choose(own: pd.DataFrame) -> pd.DataFrame:
-        rights = own[own["side"] == 1].sort_values(["t", "id"])
-        times, ids, found = rights["t"].tolist(), rights["id"].tolist(), []
-        for left_id, t in own[own["side"] == 0].sort_values(["t", "id"], ascending=[False, True])[["id", "t"]].itertuples(index=False):
+    def choose(own: list[tuple]) -> list[tuple]:
+        """Pairs of an island's rows (t, id, side), which are in order of time."""
+        rights = [(t, i) for t, i, side in own if side == 1]
+        times, ids, found = [t for t, _ in rights], [i for _, i in rights], []
+        for t, left_id in sorted(((t, i) for t, i, side in own if side == 0), key=lambda x: (-x[0], x[1])):
             later = bisect_left(times, t)
             near = [(times[later] - t, 0, later)] if later < len(times) else []
             if later:
@@ -264,9 +264,28 @@ def nearest_pairs(left: DataFrame, right: DataFrame, key: str, tolerance_ms: int
                 times.pop(at)
             else:
                 found.append((left_id, None, None))
-        found += [(None, right_id, None) for right_id in ids]
-        out = pd.DataFrame(found, columns=["left_id", "right_id", "gap"]).astype("Int64")
-        out.insert(0, key, own[key].iloc[0])
-        return out
+        return found + [(None, i, None) for i in ids]
 
-    return islands.groupBy(key, "island").applyInPandas(choose, f"{key} {rows.schema[key].dataType.simpleString()}, left_id long, right_id long, gap long")
+    def run(batches):
+        place, own = None, []
+        for batch in batches:
+            out = []
+            for k, island, t, i, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, island) != place:
+                    out += [(place[0], *x) for x in choose(own)] if own else []
+                    place, own = (k, island), []
+                own.append((t, i, side))
+            yield _rows(out)
+        if own:
+            yield _rows([(place[0], *x) for x in choose(own)])
+
+    schema = StructType([rows.schema[key], *StructType.fromDDL("left_id long, right_id long, gap long")])
+    kinds = to_arrow_schema(schema)
+
+    def _rows(found):
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = islands.select(key, "island", "t", "id", "side").repartition(parts, key, "island").sortWithinPartitions(key, "island", "t", "id")
+    return dealt.mapInArrow(run, schema)
