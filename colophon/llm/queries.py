@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import contamination
 from .edit_fingerprint import classed_documents
+from .filter_audit import audit_filters
 from .language import identify_languages
 from .licenses import LICENCE_RULES, SENTENCES, anchors, scan_licences
+from .manifest import manifest
+from .mixing import mix_sources
 from .packing import pack_documents
 from .quotation import reply_ordered
 from .simhash import near_duplicates
@@ -74,6 +78,21 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, the roots above it and its proof; every fifth text is tampered with."""
+    return manifest(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes and costs, at every step of every order, by language."""
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of all sources takes of every document."""
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -85,6 +104,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_fingerprint": op9_fingerprint,
     "op10_token_index": op10_token_index,
+    "op11_manifest": op11_manifest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_mixing": op13_mixing,
 }
 
 
@@ -219,5 +241,122 @@ def _quotation_sql() -> str:
                left join threads t on c.conv_id = t.conv_id and c.turn = t.turn"""
 
 
+def _manifest_sql(levels: int = 8) -> str:
+    """One step a level, for trees of up to 16 ** ``levels`` leaves."""
+    field = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = crc32_sql("cast(doc_id as varchar)")
+
+    def tree(name: str, last: str) -> tuple[str, str]:
+        """Levels of the trees of ``{name}0`` (tree, i, h), and the siblings of a node at each step up."""
+        steps = []
+        for k in range(levels):
+            steps.append(f"{name}n{k} as (select tree, count(*) as n from {name}{k} group by tree)")
+            steps.append(f"{name}{k + 1} as (select l.tree, i // 16 as i, sha256(string_agg(h, '' order by i)) as h from {name}{k} l join {name}n{k} c on l.tree is not distinct from c.tree where n > 1 group by l.tree, i // 16)")
+            steps.append(f"{name}s{k} as (select l.tree, l.i, string_agg(o.h, '' order by o.i) filter (o.i < l.i) as before, string_agg(o.h, '' order by o.i) filter (o.i > l.i) as after from {name}{k} l join {name}n{k} c on l.tree is not distinct from c.tree join {name}{k} o on l.tree is not distinct from o.tree and l.i // 16 = o.i // 16 where n > 1 group by l.tree, l.i)")
+        roots = " union all ".join(f"select l.tree, l.h from {name}{k} l join {name}n{k} c on l.tree is not distinct from c.tree where n = 1" for k in range(levels))
+        return ", ".join(steps), f"{last} as ({roots})"
+
+    own, own_roots = tree("a", "subroots")
+    top, top_roots = tree("b", "roots")
+    climbs, at = [], "start"
+    for kind, node in (("a", "i"), ("b", "top_i")):
+        for k in range(levels):
+            name = f"c{kind}{k}"
+            key = "s.tree is not distinct from p.source" if kind == "a" else "true"
+            climbs.append(
+                f"{name} as (select p.* replace (case when s.i is null then p.node else sha256(coalesce(s.before, '') || p.node || coalesce(s.after, '')) end as node, p.proof || coalesce(s.before, '') || coalesce(s.after, '') as proof) "
+                f"from {at} p left join {kind}s{k} s on {key} and s.i = p.{node} // {16**k})"
+            )
+            at = name
+    return f"""
+    with l as (select doc_id, source, {leaf("text")} as leaf, case when {crc} % 5 = 0 then {leaf(lower)} else {leaf("text")} end as changed from documents),
+    placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from l),
+    a0 as (select source as tree, i, leaf as h from placed), {own}, {own_roots},
+    b0 as (select 0 as tree, row_number() over (order by tree nulls first) - 1 as i, h from subroots), {top}, {top_roots},
+    tops as (select tree as source, h as subroot, row_number() over (order by tree nulls first) - 1 as top_i from subroots),
+    start as (select p.*, t.subroot, t.top_i, p.changed as node, '' as proof from placed p join tops t on p.source is not distinct from t.source),
+    {", ".join(climbs)}
+    select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, node as folded_root, node = h as verified from {at}, roots"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text, digit by digit and bit by bit."""
+    step = "case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    eight = "list_reduce(list_prepend(xor(acc, x), range(8)), lambda c, j: " + step + ")"
+    digits = f"list_transform(range(1, length({text}) + 1), lambda k: ascii(substr({text}, k, 1))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}), lambda acc, x: {eight}), 4294967295)"
+
+
+def _audit_sql() -> str:
+    words = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+    return rf"""
+    with said as (select doc_id, max(coalesce((quality = 1)::int, 0)) as good, max(coalesce((toxic = 1)::int, 0)) as bad from labels group by doc_id),
+    least as (select coalesce(text, '') as t, min(doc_id) as least from documents group by 1),
+    masks as (
+      select coalesce(lang, '') as part, d.doc_id,
+             (len({words}) < 100)::int as fa, (100 * len(list_distinct({words})) < 80 * len({words}))::int as fb,
+             (100 * len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) > 10 * length(coalesce(text, '')))::int as fc,
+             regexp_matches(coalesce(text, ''), '[#$%&*|]')::int as fd, coalesce(d.doc_id > least, false)::int as fe
+      from documents d join least l on coalesce(d.text, '') = l.t),
+    counts as (
+      select part, {{'A': fa, 'B': fb, 'C': fc, 'D': fd, 'E': fe}} as fails, fa + fb + fc + fd + fe as n_fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(bad, 0)) as bad
+      from masks left join said using (doc_id) group by all),
+    letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+               where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps as (select filter_order, unnest(range(1, 6)) as step from orders)
+    select part, filter_order, step::int as step, filter, sum(n) filter (not gone and not here)::bigint as kept, coalesce(sum(n) filter (not gone and here), 0)::bigint as removed,
+           coalesce(sum(n) filter (gone and here), 0)::bigint as redundant, coalesce(sum(n) filter (here and n_fails = 1), 0)::bigint as unique_fails,
+           coalesce(sum(good) filter (not gone and here), 0)::bigint as good_lost, coalesce(sum(bad) filter (not gone and here), 0)::bigint as toxic_lost,
+           coalesce(sum(n * (120 // nullif(n_fails, 0))) filter (here), 0)::bigint as shapley
+    from (select part, filter_order, step, substr(filter_order, step::int, 1) as filter, n, good, bad, n_fails,
+                 fails[substr(filter_order, step::int, 1)] = 1 as here,
+                 len(list_filter(string_split(substr(filter_order, 1, step::int - 1), ''), lambda x: x <> '' and fails[x] = 1)) > 0 as gone
+          from (select part, n, good, bad, n_fails, map {{'A': fails.A, 'B': fails.B, 'C': fails.C, 'D': fails.D, 'E': fails.E}} as fails from counts), steps)
+    group by all"""
+
+
+def _mixing_sql() -> str:
+    return r"""
+    with drawn as (
+      select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as size,
+             (('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '-') || ':' || coalesce(text, '')), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u
+      from documents),
+    rows as (select *, case when size > 0 then length(bin(size)) else 0 end as class from drawn),
+    sizes as (select source, sum(size)::bigint as source_size from rows group by source),
+    weighed as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3)::int + 1] as weight, 3 * source_size as cap from sizes),
+    ratios as (select *, cap / weight as ratio from weighed),
+    shares as (select *, ((sum(source_size) over () - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+                      / nullif(sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following), 0)::double) as share from ratios),
+    targets as (select source, source_size, case when ratio <= share then cap::double else max(case when ratio > share then share end) over () * weight end as target from shares),
+    owed as (select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end::bigint as copies from targets),
+    classes as (select source, class, sum(size)::bigint as words from rows group by all),
+    scaled as (
+      select c.source, class, words, source_size, target, copies, greatest(target - copies * source_size, 0.0::double) as owes,
+             (greatest(target - copies * source_size, 0.0::double) - coalesce(sum(words) over (w rows between unbounded preceding and 1 preceding), 0)::double)
+               / nullif(sum(class * words) over (w rows between current row and unbounded following), 0)::double as c
+      from classes c join owed o on c.source is not distinct from o.source window w as (partition by c.source order by class desc)),
+    chances as (
+      select source, class, source_size, target, copies, coalesce(class * c >= 1, false) as sure,
+             case when class * c >= 1 then 1 else greatest(max(case when class * c < 1 then c end) over s * class, 0.0::double) end as p,
+             owes - coalesce(sum(case when class * c >= 1 then words end) over s, 0)::double as rest
+      from scaled window s as (partition by source)),
+    ranked as (
+      select doc_id, r.source, size, source_size, target, copies, p, rest, case when p > 0 and p < 1 and size > 0 then u * (1 - p) / ((1 - u) * p) end as rank
+      from rows r join chances c on r.source is not distinct from c.source and r.class = c.class),
+    summed as (select *, coalesce(sum(size) over (partition by source, rank is null order by rank, doc_id nulls last, size rows between unbounded preceding and 1 preceding), 0) as before from ranked)
+    select doc_id, size, source_size, target, (size * (copies + case when rank is null then (p >= 1)::int else (2 * before + size <= 2 * rest)::int end))::bigint as taken from summed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_sql(), "op4_quotation": _quotation_sql(), "op8_license_scan": _licence_sql()}
+    return {
+        "op1_url_filter": _url_sql(),
+        "op4_quotation": _quotation_sql(),
+        "op8_license_scan": _licence_sql(),
+        "op11_manifest": _manifest_sql(),
+        "op12_filter_audit": _audit_sql(),
+        "op13_mixing": _mixing_sql(),
+    }
