@@ -11,6 +11,8 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that one task of the routed texts should have: Spark does not size an RDD's partitions by itself.
+TASK_ROWS = 50_000
 #: Bytes of different texts that a task holds while it looks for copies among its own rows.
 HELD_BYTES = 64 << 20
 
@@ -125,8 +127,8 @@ def met_chains(records: Iterable, copy: int) -> Iterator[tuple]:
     yield from closed()
 
 
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(docs: DataFrame, rows: int = 0) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
 
 def filter_masks(docs: DataFrame, filters: dict[str, Callable] = FILTERS, held: int = HELD_BYTES) -> DataFrame:
@@ -143,7 +145,7 @@ def filter_masks(docs: DataFrame, filters: dict[str, Callable] = FILTERS, held:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("part"), "text").rdd
     copy = 1 << len(filters)
-    routed = rows.mapPartitions(lambda it: own_chains(it, filters, held)).repartitionAndSortWithinPartitions(_partitions(docs), lambda key: key)
+    routed = rows.mapPartitions(lambda it: own_chains(it, filters, held)).repartitionAndSortWithinPartitions(_partitions(docs, docs.count()), lambda key: key)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(lambda it: met_chains(it, copy)), "doc_id long, part string, mask int", verifySchema=False)
 
 

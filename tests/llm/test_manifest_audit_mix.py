@@ -246,10 +246,10 @@ def test_mix_meets_targets_with_whole_copies(spark):
 
 def test_longer_documents_are_likelier_by_their_odds(spark):
     # Over many seeds a document is in as often as its inclusion probability says.
-    rows = [(i, "w " * (2 if i % 2 else 60), None, "a" if i < 200 else "b", 1) for i in range(400)]
+    rows = [(i, "w " * (2 if i % 2 else 60), None, "a" if i < 1000 else "b", 1) for i in range(2000)]
     docs = spark.createDataFrame(rows, SCHEMA).cache()
     counts = defaultdict(int)
-    for seed in range(30):
+    for seed in range(8):
         for r in mixing.mix_sources(docs, weights=(1, 3), seed=seed).where("source = 'a'").groupBy("size", "copies").count().collect():
             counts[r["size"], r["copies"]] += r["count"]
     docs.unpersist()
