@@ -175,11 +175,17 @@ def text_blocks(text: Column) -> Column:
     return F.split(text, r"\r?\n[\t ]*\r?\n+")
 
 
+def _occurrences(text: str, wanted: str) -> list[int]:
+    found, at = [], text.find(wanted) if wanted else -1
+    while at >= 0:
+        found.append(at + 1)
+        at = text.find(wanted, at + len(wanted))
+    return found
+
+
 def occurrences(text: Column, wanted: str) -> Column:
-    """Where a text begins in another, from 1, not overlapping."""
-    parts = F.split(text, re.escape(wanted), -1)
-    ends = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda s, q: s + F.length(q)) + i * len(wanted) + 1)
-    return F.when(F.lit(bool(wanted)), ends).otherwise(F.array().cast("array<int>"))
+    """Where a text begins in another, from 1, not overlapping; one pass over each text."""
+    return _over_texts(ArrayType(IntegerType()), lambda t: _occurrences(t, wanted))(text)
 
 
 _SEGMENT = StructType([StructField("text", StringType()), StructField("highlighted", BooleanType())])
@@ -248,8 +254,14 @@ def person(text: pd.Series) -> pd.DataFrame:
 
 
 def authors(text: Column) -> Column:
-    """The names in an author field, parted by the marks and words that part names."""
-    return F.filter(F.transform(F.split(text, r"\s*(?:;|、|・|&|\||\band\b)\s*"), lambda n: F.trim(n)), lambda n: n != "")
+    """The names in an author field, parted by the marks and words that part names.
+
+    The middle point parts names only where all that it parts is ideographs; within kana it joins
+    the parts of one name.
+    """
+    names = F.split(text, r"\s*(?:;|、|&|\||\band\b)\s*")
+    parted = F.flatten(F.transform(names, lambda n: F.when(n.rlike(r"^\s*\p{IsHan}+(?:\s*・\s*\p{IsHan}+)+\s*$"), F.split(n, "・")).otherwise(F.array(n))))
+    return F.filter(F.transform(parted, lambda n: F.trim(n)), lambda n: n != "")
 
 
 def classes(text: Column, rules: dict[str, str]) -> Column:

@@ -125,12 +125,13 @@ def match_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def citation_matches(texts: DataFrame, catalogue: DataFrame, least_words: int = 3, probe_words: int = 3, window: int = 60) -> DataFrame:
+def citation_matches(texts: DataFrame, catalogue: DataFrame, least_characters: int = 10, probe_words: int = 3, window: int = 60) -> DataFrame:
     """(doc_id, work_id, position, certainty): catalogue titles that texts mention.
 
     ``texts`` has doc_id and text, ``catalogue`` work_id, title, year and perhaps author.
-    The first ``probe_words`` words of a title meet the same run of words in the texts by
-    an equi-join; the title is then compared with the words that follow. The work's year
+    The first ``probe_words`` words of a title, or all of a shorter one, meet the same run of words
+    in the texts by an equi-join; the title is then compared with the words that follow. Titles of
+    fewer words need ``least_characters`` letters and digits. The work's year
     or a name of its author among the ``window`` letters and digits on either side makes
     a mention ``probable``, else it is a ``candidate``. Mentions within a longer one are
     left out, unless they alone are probable; of several of one work in a text the
@@ -139,12 +140,19 @@ def citation_matches(texts: DataFrame, catalogue: DataFrame, least_words: int =
     words = F.split(match_key(F.col("title")), " ")
     author = F.col("author") if "author" in catalogue.columns else F.lit(None).cast("string")
     names = F.filter(F.regexp_extract_all(F.lower(F.coalesce(author, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0), lambda x: F.length(x) >= 2)
-    works = catalogue.select("work_id", "year", match_key(F.col("title")).alias("wanted"), names.alias("names"), words.alias("w")).where(F.size("w") >= least_words)
-    works = works.select("work_id", "year", "wanted", "names", F.size("w").alias("size"), F.xxhash64(F.array_join(F.slice("w", 1, probe_words), " ")).alias("probe"))
-    split = texts.select("doc_id", F.split(match_key(F.col("text")), " ").alias("w")).where(F.size("w") >= probe_words)
-    runs = split.select("doc_id", F.posexplode(F.transform(token_runs(F.col("w"), probe_words), lambda r: F.xxhash64(r))).alias("i", "probe"))
+    works = catalogue.select("work_id", "year", match_key(F.col("title")).alias("wanted"), names.alias("names"), words.alias("w")).where((F.col("wanted") != "") & ((F.size("w") >= probe_words) | (F.length(F.replace("wanted", F.lit(" "))) >= least_characters)))
+    width = F.least(F.size("w"), F.lit(probe_words))
+    works = works.select("work_id", "year", "wanted", "names", F.size("w").alias("size"), width.alias("width"), F.xxhash64(F.array_join(F.slice("w", F.lit(1), width), " ")).alias("probe"))
+    split = texts.select("doc_id", F.split(match_key(F.col("text")), " ").alias("w"))
+    met = None
+    for n in sorted(r[0] for r in works.select("width").distinct().collect()):
+        runs = split.where(F.size("w") >= n).select("doc_id", F.posexplode(F.transform(token_runs(F.col("w"), n), lambda r: F.xxhash64(r))).alias("i", "probe"))
+        of_width = runs.join(works.where(F.col("width") == n).drop("width"), "probe")
+        met = of_width if met is None else met.unionByName(of_width)
+    if met is None:
+        return texts.sparkSession.createDataFrame([], "doc_id long, work_id long, position int, certainty string")
     # A text is read again only where a probe of it was found.
-    hits = runs.join(works, "probe").join(split, "doc_id").where(F.array_join(F.slice("w", F.col("i") + 1, F.col("size")), " ") == F.col("wanted"))
+    hits = met.join(split, "doc_id").where(F.array_join(F.slice("w", F.col("i") + 1, F.col("size")), " ") == F.col("wanted"))
     before = F.right(F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i") - window + 1), F.least(F.col("i"), F.lit(window))), ""), F.lit(window))
     after = F.left(F.array_join(F.slice("w", F.col("i") + F.col("size") + 1, F.lit(window)), ""), F.lit(window))
     around = F.concat(before, F.lit(" "), F.array_join(F.slice("w", F.col("i") + 1, F.col("size")), ""), F.lit(" "), after)
@@ -166,8 +174,8 @@ def composition(labelled: DataFrame) -> DataFrame:
 #: Lines that open a list of references, and those that end one: whole lines, case folded.
 HEADINGS = r"(?:(?:selected|general|annotated)\s+)?(?:references(?: cited)?|bibliography|works cited|literature(?: cited)?|参照文献|参考文献|引用文献|文献目録|文献一覧)"
 ENDINGS = r"(?:index|appendix(?:\s+\w+)?|notes|afterword|acknowledge?ments?|索引|付録|あとがき|謝辞)"
-#: Lines between two pages' running heads, characters of a section at most and at least.
-PAGE_LINES, MOST_SECTION, LEAST_SECTION = (15, 120), 120_000, 40
+#: Lines between two pages' running heads, characters of a section at least.
+PAGE_LINES, LEAST_SECTION = (15, 120), 40
 
 
 def _heading(line: str) -> str:
@@ -177,12 +185,13 @@ def _heading(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"(?<=[぀-ヿ㐀-鿿])\s+(?=[぀-ヿ㐀-鿿])", "", bare)).strip().lower()
 
 
-def reference_section(text: str) -> str | None:
+def reference_section(text: str, most: int | None = None) -> str | None:
     """The list of references of a document, without the heads and numbers of its pages.
 
     A heading that comes again a page further on is a running head: of such runs the
     longest opens the section, the latest of equals. It ends at a heading of another
-    part, or with the text; a shorter one than LEAST_SECTION is none.
+    part, or with the text; a shorter one than LEAST_SECTION is none. ``most`` characters of it,
+    if given; all of it otherwise.
     """
     lines = re.split(r"\r?\n", text)
     named = [_heading(x) if len(x) <= 80 else "" for x in lines]
@@ -198,7 +207,7 @@ def reference_section(text: str) -> str | None:
     start = max(enumerate(runs), key=lambda r: (len(r[1]), r[0]))[1][0] + 1
     end = next((i for i in range(start + 3, len(lines)) if 0 < len(named[i]) <= 40 and re.fullmatch(ENDINGS, named[i])), len(lines))
     body = [x for x, name in zip(lines[start:end], named[start:end], strict=True) if not re.fullmatch(HEADINGS, name) and not re.fullmatch(r"\s*\d{1,4}\s*", x)]
-    section = "\n".join(body).strip()[:MOST_SECTION]
+    section = "\n".join(body).strip()[:most]
     return section if len(section) >= LEAST_SECTION else None
 
 

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Stored
+
 
 class FeedResult(NamedTuple):
     """What became of a feed: its rows, or why it failed."""
@@ -36,21 +38,27 @@ def import_from(records: DataFrame, key: str, folder: str, job: str, write: Call
 
     The watermark is a table of one row a run below ``folder``; it moves only after
     ``write`` has ended, so a run that fails is done again from the same place. ``limit``
-    takes the first so many records of this run.
+    takes the first so many records, and all others of the last one's key: a run
+    never ends within a key. The slice is stored once, so what is written is what was
+    counted. Records with a null key come before all others and are part of the first run alone.
     """
     spark: SparkSession = records.sparkSession
     schema = f"job string, at {records.schema[key].dataType.simpleString()}"
     path = f"{folder}/watermarks"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     known = spark.read.schema(schema).parquet(path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else spark.createDataFrame([], schema)
-    last = known.where(F.col("job") == job).agg(F.max("at")).first()[0]
-    new = records if last is None else records.where(F.col(key) > F.lit(last))
-    new = new if limit is None else new.orderBy(key).limit(limit)
-    reached = new.agg(F.max(key).alias("at"), F.count("*").alias("n")).first()
-    if not reached["n"]:
-        return 0
-    write(new.where(F.col(key) <= F.lit(reached["at"])))
-    spark.createDataFrame([(job, reached["at"])], schema).write.mode("append").parquet(path)
+    last, runs = known.where(F.col("job") == job).agg(F.max("at"), F.count("*")).first()
+    new = records if not runs else records.where(F.col(key).isNotNull()) if last is None else records.where(F.col(key) > F.lit(last))
+    if limit is not None:
+        keys = new.select(key).orderBy(F.col(key).asc_nulls_first()).limit(limit).agg(F.max(key), F.count("*")).first()
+        new = new.where(F.col(key).isNull() | (F.col(key) <= F.lit(keys[0]))) if keys[1] and keys[0] is not None else new.where(F.col(key).isNull()) if keys[1] else new.limit(0)
+    table = Stored(spark, "slice")
+    whole = table.keep(new)
+    reached = whole.agg(F.max(key).alias("at"), F.count("*").alias("n")).first()
+    if reached["n"]:
+        write(whole)
+        spark.createDataFrame([(job, reached["at"])], schema).write.mode("append").parquet(path)
+    table.drop(0)
     return reached["n"]
 
 
