@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept
+from .common import bounded_batches, kept, stored
 from .words import chunks, cut, table_of
 
-#: Token positions that a seed reads (1) and ignores (0): fixed values.
-MASKS = ("11111111", "1101110111", "1110101101011", "11010011001010111")
-#: Dense seeds, by number of tokens: every overlap that verification accepts holds one of its item's.
-DENSE = ("1", "11", "111", "1111")
+#: Token positions that a seed reads (1) and ignores (0): fixed values, for items of so many tokens at least.
+#: A substitution hides at most as many places of a mask as it reads tokens, so with (L - span + 1)
+#: places in L tokens, more than substitutions times weight, one place stays free. That holds for
+#: every overlap that verification accepts; for items of 16 tokens on, where 3 in 16 or 4 in 20 could
+#: just hide all places of 11011, they would have to tile them, which its gap forbids.
+MASKS = {1: "1", 2: "11", 3: "101", 4: "1101", 5: "101", 6: "1101", 16: "11011"}
 #: Least matching tokens of an overlap, or all but a fifth of a shorter item, and least
 #: share of tokens that match in it.
 LEAST_MATCHES, LEAST_IDENTITY = 13, 0.8
@@ -26,6 +28,11 @@ LEAST_MATCHES, LEAST_IDENTITY = 13, 0.8
 SUBSTITUTION = 2
 #: Bytes of benchmark text that go to every task at once; more are searched block by block.
 BLOCK_BYTES = 8_000_000
+#: Pairs of a text's and the items' places of a seed that are laid out at once; texts and items that repeat
+#: themselves have more, of which the shifts are marked one place after the other.
+PAIRS = 1 << 20
+#: Tokens that are compared at once.
+COMPARED = 1 << 21
 #: Bits of the table that rules out most seeds at once, as a power of two.
 TABLE_BITS = 22
 
@@ -69,11 +76,10 @@ def token_hashes(text: str | None) -> np.ndarray:
     return tokens_of([text or ""])[0]
 
 
-def seed_hashes(tokens: np.ndarray, number: int) -> np.ndarray:
-    """A hash for every position where mask ``number`` fits, of the tokens it reads."""
-    mask = (*MASKS, *DENSE)[number]
+def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """A hash for every position where a mask fits, of the tokens it reads."""
     n = len(tokens) - len(mask) + 1
-    found = np.full(max(n, 0), number + 1, np.uint64)
+    found = np.full(max(n, 0), int(mask, 2), np.uint64)
     for at, kept in enumerate(mask):
         if kept == "1" and n > 0:
             found = (found ^ tokens[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -86,16 +92,9 @@ def least_matches(n_tokens: int) -> int:
     return min(LEAST_MATCHES, math.ceil(Fraction(LEAST_IDENTITY).limit_denominator(1000) * n_tokens))
 
 
-def dense_seed(n_tokens: int) -> int:
-    """The number of the dense seed that every accepted overlap with an item must hold.
-
-    M matches and m substitutions make m + 1 runs, the longest of M / (m + 1) tokens at
-    least. A fifth may be substituted, so that is over 3 for 13 matches or more; in an
-    item of fewer tokens no more than it lacks of what it needs is substituted.
-    """
-    needed = least_matches(n_tokens)
-    width = 4 if needed == LEAST_MATCHES else -(-needed // (n_tokens - needed + 1))
-    return len(MASKS) + min(width, len(DENSE)) - 1
+def mask_of(n_tokens: int) -> str:
+    """The mask of items of so many tokens."""
+    return MASKS[max(least for least in MASKS if least <= n_tokens)]
 
 
 class SeedIndex:
@@ -107,11 +106,11 @@ class SeedIndex:
         self.sizes, self.needed = np.array(sizes, np.int64), np.array([least_matches(n) for n in sizes], np.int64)
         self.tokens = np.concatenate([np.zeros(0, np.uint64), *(tokens for _, tokens in self.items)])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.numbers = sorted({*range(len(MASKS)), *(dense_seed(n) for n in sizes if n)})
+        self.masks = sorted({mask_of(n) for n in sizes if n})
         hashes, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for owner, (_, tokens) in enumerate(self.items):
-            for number in (*range(len(MASKS)), dense_seed(len(tokens))) if len(tokens) else ():
-                seeds = seed_hashes(tokens, number)
+            if len(tokens):
+                seeds = seed_hashes(tokens, mask_of(len(tokens)))
                 hashes.append(seeds)
                 owners.append(np.full(len(seeds), owner))
                 places.append(np.arange(len(seeds)))
@@ -129,27 +128,59 @@ class SeedIndex:
         """The same of many texts, whose seeds are looked up together."""
         for some in chunks(texts):
             tokens, bounds = tokens_of(some)
-            found = [np.zeros((0, 3), np.int64)]
-            for number in self.numbers:
-                seeds = seed_hashes(tokens, number)
+            found = [np.zeros((0, 4), np.int64)]
+            for mask in self.masks:
+                seeds = seed_hashes(tokens, mask)
                 at = np.flatnonzero(self.table[seeds >> np.uint64(64 - TABLE_BITS)])
                 text = np.searchsorted(bounds, at, "right") - 1
                 # A seed lies in one text.
-                inside = at + len((*MASKS, *DENSE)[number]) <= bounds[text + 1]
+                inside = at + len(mask) <= bounds[text + 1]
                 at, text = at[inside], text[inside]
                 low, high = np.searchsorted(self.hashes, seeds[at]), np.searchsorted(self.hashes, seeds[at], "right")
-                sizes = high - low
-                entry = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-                found.append(np.stack((np.repeat(text, sizes), self.owners[entry], np.repeat(at - bounds[text], sizes) - self.places[entry]), 1))
+                met = high > low
+                found.append(np.stack((text[met], at[met] - bounds[text[met]], low[met], high[met]), 1))
             hits = np.concatenate(found)
             hits = hits[np.argsort(hits[:, 0], kind="stable")]
             edges = np.searchsorted(hits[:, 0], np.arange(len(some) + 1)).tolist()
             for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                yield self._best(tokens[bounds[i] : bounds[i + 1]], hits[a:b, 1:]) if b > a else []
+                own = tokens[bounds[i] : bounds[i + 1]]
+                yield self._best(own, *self._shifts(len(own), *hits[a:b, 1:].T)) if b > a else []
 
-    def _best(self, tokens: np.ndarray, pairs: np.ndarray) -> list[Overlap]:
+    def _shifts(self, n_tokens: int, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different (owner, shift) at which a seed of an item lies on one of the text.
+
+        Memory grows with the places of text and items, not with their pairs.
+        """
+        sizes = high - low
+        span = 1 << 32
+        if sizes.sum() <= PAIRS:
+            entry = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+            keys = np.unique(self.owners[entry] * span + np.repeat(at, sizes) - self.places[entry] + (span >> 1))
+            return keys // span, keys % span - (span >> 1)
+        order = np.argsort(low, kind="stable")
+        at, low, high = at[order], low[order], high[order]
+        marks: dict[int, np.ndarray] = {}
+        edges = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True])))
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            mine, entries = at[a:b], slice(low[a], high[a])
+            owners, places = self.owners[entries], self.places[entries]
+            by = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1], [True])))
+            for x, y in zip(by.tolist(), by[1:].tolist(), strict=False):
+                owner, theirs = int(owners[x]), places[x:y]
+                mark = marks.setdefault(owner, np.zeros(n_tokens + int(self.sizes[owner]), bool))
+                if len(mine) < len(theirs):
+                    for place in mine.tolist():
+                        mark[place - theirs + self.sizes[owner]] = True
+                else:
+                    for place in theirs.tolist():
+                        mark[mine - place + self.sizes[owner]] = True
+        owners = sorted(marks)
+        shifts = [np.flatnonzero(marks[owner]) - self.sizes[owner] for owner in owners]
+        return np.repeat(np.array(owners, np.int64), list(map(len, shifts))), np.concatenate(shifts)
+
+    def _best(self, tokens: np.ndarray, owners: np.ndarray, shifts: np.ndarray) -> list[Overlap]:
         best: dict[tuple, Overlap] = {}
-        for owner, shift in self._enough(tokens, pairs):
+        for owner, shift in self._enough(tokens, owners, shifts):
             found = self._verified(tokens, owner, shift)
             if not found:
                 continue
@@ -159,23 +190,20 @@ class SeedIndex:
                 best[key] = found
         return [best[i] for i in sorted(best)]
 
-    def _enough(self, tokens: np.ndarray, pairs: np.ndarray) -> list[list[int]]:
-        """The different (owner, shift) where an item laid beside the text has the matches it needs, in all."""
-        span = 1 << 32
-        pairs = np.unique(pairs[:, 0] * span + pairs[:, 1] + (span >> 1))
-        owners, shifts = pairs // span, pairs % span - (span >> 1)
-        kept = []
-        for low in range(0, len(pairs), 4096):
-            owner, shift = owners[low : low + 4096], shifts[low : low + 4096]
-            first = np.maximum(0, -shift)
-            size = np.minimum(self.sizes[owner], len(tokens) - shift) - first
+    def _enough(self, tokens: np.ndarray, owners: np.ndarray, shifts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The (owner, shift) where an item laid beside the text has the matches it needs, in all."""
+        first = np.maximum(0, -shifts)
+        sizes = np.minimum(self.sizes[owners], len(tokens) - shifts) - first
+        turn = np.cumsum(sizes) // COMPARED
+        edges = np.flatnonzero(np.concatenate(([True], turn[1:] != turn[:-1], [True])))
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            owner, shift, size = owners[a:b], shifts[a:b], sizes[a:b]
             ends = np.cumsum(size)
-            place = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+            place = np.arange(ends[-1]) + np.repeat(first[a:b] - (ends - size), size)
             equal = tokens[place + np.repeat(shift, size)] == self.tokens[place + np.repeat(self.starts[owner], size)]
             sums = np.concatenate(([0], np.cumsum(equal)))
             good = sums[ends] - sums[ends - size] >= self.needed[owner]
-            kept += np.stack((owner[good], shift[good]), 1).tolist()
-        return kept
+            yield from zip(owner[good].tolist(), shift[good].tolist(), strict=True)
 
     def _verified(self, tokens: np.ndarray, owner: int, shift: int) -> Overlap | None:
         """The best run of an item laid beside the text at a shift, substitutions allowed."""
@@ -197,37 +225,46 @@ class SeedIndex:
         return Overlap(item_id, matches, length, len(item), first + shift + start, first + shift + start + length)
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[SeedIndex]:
-    """Seed indexes of blocks of the benchmark, each of bounded size; the texts of one item_id are in one."""
+def _indexes(benchmark: DataFrame, least_tokens: int) -> tuple[int, Iterator[SeedIndex]]:
+    """Seed indexes of blocks of the benchmark, each of bounded size, and their number; the texts of one item_id are in one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(blocks)) == block).collect()
-        yield SeedIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+    def made() -> Iterator[SeedIndex]:
+        for block in range(blocks):
+            rows = items.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(blocks)) == block).collect()
+            kept_rows = [(r["item_id"], r["text"]) for r in rows if least_tokens <= 1 or len(token_hashes(r["text"])) >= least_tokens]
+            yield SeedIndex(sorted(kept_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+    return blocks, made()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, least_tokens: int = 1) -> DataFrame:
     """(doc_id, item_id, matches, length, item_tokens, doc_start, doc_end) of every overlap.
 
-    Text and item share a seed if the tokens that one of the MASKS, or the item's DENSE
-    seed, reads are equal; no overlap that the following accepts is without one.
+    Text and item share a seed if the tokens that the mask of the item's length reads are
+    equal; no overlap that the following accepts is without one (see MASKS).
     Around each such hit the item is laid beside the text, and the best run, in which
     a substituted token costs SUBSTITUTION matches, must have LEAST_MATCHES matches (or
     four fifths of a shorter item) and LEAST_IDENTITY of its tokens equal. The best run
     of an item in a document is one row; positions are in tokens.
 
     The benchmark goes to the tasks in blocks of bounded size and texts never move:
-    every block is one pass over the documents. Null and empty texts and items give no
+    every block is one pass over the documents, whose rows are stored and whose index is
+    freed before the next. A text is searched in memory a few times its size, also where it and
+    an item repeat one word throughout. Null and empty texts and items give no
     rows; items without an id are each searched, and texts of one item_id are one item, of
     which the best overlap stands; rows that repeat a doc_id are searched each by itself;
-    other columns are not read.
+    other columns are not read. An item of one token is found in every text that holds it:
+    ``least_tokens`` leaves shorter items out.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
     schema = "doc_id long, item_id long, matches int, length int, item_tokens int, doc_start int, doc_end int"
     found = spark.createDataFrame([], schema)
-    for index in _indexes(benchmark):
+    blocks, indexes = _indexes(benchmark, least_tokens)
+    for index in indexes:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -237,16 +274,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", *Overlap._fields])
 
-        found = found.union(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+        part = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        if blocks > 1:
+            part = stored(part, "overlaps")
+            shared.destroy()
+        found = found.union(part)
     return found
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, least_tokens: int = 1) -> DataFrame:
     """The documents, all columns, whose texts overlap no benchmark item. Nothing is shuffled."""
     spark = documents.sparkSession
     bounded_batches(spark)
     at = documents.columns.index("text")
-    for index in _indexes(benchmark):
+    blocks, indexes = _indexes(benchmark, least_tokens)
+    for index in indexes:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -254,4 +296,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not found for found in shared.value.overlaps_of(batch.column(at).to_pylist())], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
+        if blocks > 1:
+            documents = stored(documents, "clean")
+            shared.destroy()
     return documents
