@@ -125,8 +125,8 @@ class LanguageModel:
 
         What a word's trigrams say counts like BY_TRIGRAMS occurrences of it, so words
         never or seldom seen are judged by their trigrams and common ones by themselves.
-        Languages not written in a word's script are out; if none is, the word says
-        nothing.
+        Languages not written in a word's script are out; a word in a script of none is next to
+        impossible in each of them, so it says nothing for or against any and adds nothing to a score.
         """
         at = [self.gram_ids.get(padded[k : k + 3], 0) for word in words for padded in (f" {word} ",) for k in range(len(word))]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -141,7 +141,6 @@ class LanguageModel:
         found = np.log(np.maximum(found / found.sum(1, keepdims=True), FLOOR))
         fits = np.array([self.fits(script_of(w)) for w in words], bool).reshape(found.shape)
         found[~fits] = np.log(FLOOR)
-        found[~fits.any(1)] = 0
         return found
 
     def fits(self, script: str) -> tuple[bool, ...]:
@@ -270,15 +269,19 @@ def identify_languages(documents: DataFrame) -> DataFrame:
 
 
 def in_known_language(documents: DataFrame, model: LanguageModel, least_score: float = 0.0) -> DataFrame:
-    """The documents, all columns, that are not ``und`` and score ``least_score`` or more. Nothing is shuffled."""
+    """The documents, all columns, that are not ``und`` and score ``least_score`` or more. Nothing is shuffled.
+
+    Where no language was learned, none can be told from another, and all texts with a letter stay.
+    """
     spark = documents.sparkSession
     bounded_batches(spark)
     shared, at = spark.sparkContext.broadcast(model), documents.columns.index("text")
+    learned = any(model.scripts.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
             found = scorer.labels(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([name != "und" and score >= least_score for name, score, _ in found], pa.bool_()))
+            yield batch.filter(pa.array([name != "und" and score >= least_score if learned else bool(spans) for name, score, spans in found], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -152,10 +152,11 @@ class ToxicityModel:
     def _calibrated(self, vectors, class_sizes: dict[int, int]) -> tuple[float, float]:
         """Logistic fit of labels on the votes that each example gets from the others.
 
-        Examples of one class alone teach nothing: then all score next to 0.
+        Examples of one class alone tell nothing apart: then all texts score as that class, next to 0
+        or 1, and next to 0 without examples.
         """
         if len(set(self.toxic)) < 2:
-            return 0.0, -20.0
+            return 0.0, 20.0 if len(self.toxic) and self.toxic.all() else -20.0
         votes = np.array([self.vote(*self.index.nearest(t, w, leave=i)) for i, (t, w) in enumerate(vectors)])
         stands = np.where(self.toxic == 1, class_sizes[1] / self.toxic.sum(), class_sizes[0] / (1 - self.toxic).sum())
         stands /= stands.mean()
