@@ -10,6 +10,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Stored, stored
+
 from .catalogue import keyset_page
 
 #: Sorts of a listing of works: column, whether descending. Files break ties by id.
@@ -241,29 +243,34 @@ def slug_problems(slugs: DataFrame, live: DataFrame, retired: DataFrame, stopwor
 def union_by_priority(records: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     """Records in a total order of which each is kept unless a kept one before it shares a key.
 
-    ``keys`` are columns; null and empty ones are no keys. Which record stays depends on
-    those before it, but only on those that shared keys reach, directly or through
-    others, so each connected group is settled by itself.
+    ``keys`` are columns; null and empty ones are no keys. Two records are neighbours if
+    they share the value of a key. Each round keeps the records that come before all their
+    undecided neighbours and strikes those that share a key with a kept one, until
+    none is undecided; all of it is grouped minima and joins on keys, so neither a hot key nor a
+    large connected group is ever in one task. A record waits as many rounds as the longest run of
+    undecided neighbours, each before the next, that leads to it. Rows that agree in ``order`` are one record
+    that is kept or struck as one.
     """
-    from .graph import connected
-
-    named = records.select(F.struct(*order).alias("_at"), *keys)
-    pairs = named.select("_at", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys]))).alias("key"))
-    edges = pairs.select(F.to_json("_at").alias("a"), F.col("key").alias("b"))
-    groups = connected(edges).select(F.col("node").alias("_id"), F.col("component").alias("_group"))
-    wide = records.withColumn("_id", F.to_json(F.struct(*order))).join(groups, "_id", "left").withColumn("_group", F.coalesce("_group", "_id"))
-
-    def settle(own):
-        own = own.sort_values(order, kind="stable")
-        seen, kept = [set() for _ in keys], []
-        for row in own[keys].itertuples(index=False):
-            mine = [None if v is None or v != v or v == "" else v for v in row]
-            fresh = not any(v is not None and v in s for v, s in zip(mine, seen, strict=True))
-            if fresh:
-                for v, s in zip(mine, seen, strict=True):
-                    if v is not None:
-                        s.add(v)
-            kept.append(fresh)
-        return own[kept]
-
-    return wide.groupBy("_group").applyInPandas(settle, wide.schema).drop("_id", "_group")
+    store = Stored(records.sparkSession, "union")
+    at = F.struct(*order)
+    of = lambda k: F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}="), F.col(k).cast("string")))
+    # A record without keys has no neighbours: it is kept, and its own key stands for it alone.
+    pairs = records.select(at.alias("at"), F.array_compact(F.array(*[of(k) for k in keys])).alias("found")).where(F.size("found") > 0)
+    open_ = store.keep(pairs.select("at", F.explode("found").alias("key")).distinct())
+    struck, gone = None, Stored(records.sparkSession, "struck")
+    while not open_.isEmpty():
+        first = open_.groupBy("key").agg(F.min("at").alias("first"))
+        ahead = open_.join(first, "key").groupBy("at").agg(F.bool_and(F.col("at") == F.col("first")).alias("kept"))
+        kept = Stored(records.sparkSession, "kept")
+        settled = kept.keep(ahead.where("kept").select("at"))
+        taken = open_.join(settled, "at", "left_semi").select("key").distinct()
+        lost = gone.keep(open_.join(taken, "key", "left_semi").select("at").distinct().join(settled, "at", "left_anti"))
+        struck = lost if struck is None else struck.unionByName(lost)
+        open_ = store.keep(open_.join(settled, "at", "left_anti").join(lost, "at", "left_anti"))
+        store.drop()
+        kept.drop(0)
+    if struck is None:
+        return records
+    whole = stored(struck, "lost")
+    gone.drop(0)
+    return records.withColumn("_at", at).join(whole.withColumnRenamed("at", "_at"), "_at", "left_anti").drop("_at")

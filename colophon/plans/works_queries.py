@@ -226,10 +226,18 @@ def slug_availability(spark, d):
     return W.slug_problems(part.select(of(F.col("p_partkey") % 40)).union(odd), part.select(of(F.col("p_size") % 40)), part.select(of(F.lit(7))))
 
 
-@query()
+@query("""
+with recursive named as (select doc_id, case when doc_id % 3 = 0 then md5(text) end as doi, md5(lower(string_split(text, chr(10))[1])) as title from documents),
+ranked as (select *, row_number() over (order by doc_id) as n from named),
+walk as (select 0::bigint as n, []::varchar[] as seen, null::bigint as kept
+         union all
+         select r.n, case when list_contains(w.seen, 'd' || coalesce(r.doi, '-')) or list_contains(w.seen, 't' || r.title) then w.seen else list_concat(w.seen, list_filter(['d' || r.doi, 't' || r.title], lambda x: x is not null)) end,
+                case when list_contains(w.seen, 'd' || coalesce(r.doi, '-')) or list_contains(w.seen, 't' || r.title) then null else r.doc_id end
+         from walk w join ranked r on r.n = w.n + 1)
+select kept as doc_id from walk where kept is not null""")
 def priority_union(spark, d):
     docs = table(spark, d, "documents")
-    named = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.md5("text")).alias("doi"), F.md5(F.lower(F.substring("text", 1, 60))).alias("title"))
+    named = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.md5("text")).alias("doi"), F.md5(F.lower(F.split("text", "\n")[0])).alias("title"))
     return W.union_by_priority(named, ["doc_id"], ["doi", "title"]).select("doc_id")
 
 
