@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Stored, stored
-
 from .catalogue import keyset_page
 
 #: Sorts of a listing of works: column, whether descending. Files break ties by id.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.hashtree import hash_tree, root_of
+
 
 def with_row_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add the SHA-256 of each row as JSON with its fields in order of name."""
@@ -32,16 +34,15 @@ def write_text_files(pages: DataFrame, path: str, key: str, page: str, text: str
     paged_text(pages, key, page, text).select(key, F.col("text").alias("value")).write.mode("errorifexists").partitionBy(key).text(path)
 
 
-def write_approved(pages: DataFrame, path: str, key: str, columns: list[str]) -> str:
+def write_approved(pages: DataFrame, path: str, key: str, columns: list[str]) -> str | None:
     """Approved pages (approved is true) as JSON lines with row hashes, and the hash that pins them all.
 
-    The hash is of all rows' hashes in order of the key, of which the driver sees one
-    number only: rows are summed by bit_xor of their hashes' halves.
+    That is the root of a tree over the rows' hashes in order of the key, which changes
+    with any row, its place, and its repetition; null if nothing is approved.
     """
     rows = with_row_hash(pages.where("approved").select(key, *columns), [key, *columns])
     rows.write.mode("errorifexists").json(path)
-    pinned = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_hash")).alias("x"), F.bit_xor(F.xxhash64(F.reverse("row_hash"))).alias("y")).first()
-    return f"{pinned['n']}-{(pinned['x'] or 0) & (1 << 64) - 1:016x}{(pinned['y'] or 0) & (1 << 64) - 1:016x}"
+    return root_of(hash_tree(rows, [key]))
 
 
 def upserted(current: DataFrame, incoming: DataFrame, keys: list[str], version: Column) -> DataFrame:
