@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from .transliterate import folded_places, search_text  # noqa: F401
+
 #: Named entities of feeds: fixed values.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "shy": "", "mdash": "—", "ndash": "–", "hellip": "…", "middot": "·", "times": "×", "deg": "°", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "laquo": "«", "raquo": "»", "Uuml": "Ü", "uuml": "ü", "Ouml": "Ö", "ouml": "ö", "Auml": "Ä", "auml": "ä", "szlig": "ß", "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "ccedil": "ç", "oslash": "ø"}
 #: Spellings that stand for each other in search: fixed values.
@@ -166,8 +168,7 @@ def spelling_alternatives(word: str) -> list[str]:
 def phrase_alternatives(phrase: str) -> list[str]:
     """A phrase as written (NFC) and in search form, if they differ."""
     written = unicodedata.normalize("NFC", phrase)
-    plain = "".join(c for c in unicodedata.normalize("NFD", written.replace("’", "'")) if unicodedata.category(c) != "Mn").lower().replace("ß", "ss")
-    return list(dict.fromkeys([written, plain]))
+    return list(dict.fromkeys([written, search_text(written)]))
 
 
 def text_blocks(text: Column) -> Column:
@@ -220,18 +221,6 @@ def highlights(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Serie
     return pd.Series(found)
 
 
-def _folded_places(text: str) -> list[int]:
-    """For every character of the search form, and its end, where in the text it came from."""
-    places: list[int] = []
-    for at, c in enumerate(text):
-        plain = "".join(x for x in unicodedata.normalize("NFD", c.replace("’", "'").replace("ʼ", "'")) if unicodedata.category(x) != "Mn").lower().replace("ß", "ss")
-        places += [at] * len(plain)
-    return [*places, len(text)]
-
-
-#: For each place of a text's search form, the place in the text itself; one more for the end.
-folded_places = _over_texts(ArrayType(IntegerType()), _folded_places)
-
 _PERSON = StructType([StructField("family", StringType()), StructField("given", StringType()), StructField("key", StringType())])
 _NO_PERSON = re.compile(r"(?i)^(?:unknown|anonymous|n/?a|none|various|et al\.?|\W*|\d+)$")
 

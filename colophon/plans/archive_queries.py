@@ -341,7 +341,7 @@ def exact_dup_groups(spark, d):
 
 
 @query("""
-select doc_id, lang, md5(strip_accents(lower(replace(replace(text, '’', chr(39)), 'ß', 'ss')))) as folded_md5 from documents""")
+select doc_id, lang, md5(strip_accents(lower(replace(translate(text, '`´ʹʼ՚‘’‛＇', repeat(chr(39), 9)), 'ß', 'ss')))) as folded_md5 from documents""")
 def fold_text(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", F.md5(T.fold("text")).alias("folded_md5"))
 

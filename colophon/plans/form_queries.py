@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import transliterate as R
 from ..operators import hashtree as H
 from ..schema import table
 from .registry import query
@@ -35,3 +36,39 @@ def canonical_hashes(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, nested).otherwise(flat).alias("json"))
     odd = spark.createDataFrame([(-1, "{not json")], "doc_id long, json string")
     return rows.unionByName(odd).select("doc_id", H.canonical_hash(F.col("json")).alias("hash"))
+
+
+#: Titles in several scripts, their search forms and slugs, written out by hand.
+_TITLES = (
+    ("アイヌ・イタㇰ 1901", "ainu itak 1901", "ainu-ita-1901"),
+    ("とうきょう大学のジャーナル", "toukyou大学nozyanaru", "tokyo-nojanaru"),
+    ("Пётр Щука: Ёлка", "петр щука: елка", "petr-shchuka-elka"),
+    ("Łódź ‘Straße’ Ærø", "łodz 'strasse' ærø", "lodz-strasse-aero"),
+    ("ﾊﾞﾁｪﾗｰ’s Kāmúy", "bacera's kamuy", "bachera-s-kamuy"),
+)
+
+
+def _cases(k: int) -> str:
+    return "case doc_id % 5 " + " ".join(f"when {i} then '{t[k].replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(_TITLES)) + " end"
+
+
+@query(f"""select doc_id, {_cases(1)} || ' ' || source as form, {_cases(2)} || '-' || source as slug from documents""")
+def titles_in_scripts(spark, d):
+    titles = F.array(*[F.lit(t[0]) for t in _TITLES])
+    title = F.concat(F.element_at(titles, (F.col("doc_id") % 5 + 1).cast("int")), F.lit(" "), "source")
+    return table(spark, d, "documents").select("doc_id", R.fold(title).alias("form"), R.slug(title).alias("slug"))
+
+
+#: Where "kamuy" stands in a title that says it in kana or with marks, from 0.
+@query("""
+with p as (select doc_id, lang, length(lang) as n from documents)
+select doc_id, case doc_id % 3 when 0 then (n + 1) || '-' || (n + 4) when 1 then (n + 1) || '-' || (n + 6) || ' ' || (n + 7) || '-' || (n + 12) else '' end as places,
+       case doc_id % 3 when 0 then 'カムユ' when 1 then 'Kāmúy' else '' end as matched from p""")
+def places_in_scripts(spark, d):
+    # The last vowel of kamuyu is not part of the match, but its kana is.
+    texts = F.array(F.lit("カムユ"), F.lit("Kāmúy KAMUY"), F.lit("か"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit(" "), F.element_at(texts, (F.col("doc_id") % 3 + 1).cast("int"))).alias("t"))
+    found = rows.withColumn("r", R.folded_ranges("kamuy")("t"))
+    said = F.array_join(F.transform("r", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), " ")
+    first = F.when(F.size("r") > 0, F.col("t").substr(F.col("r")[0]["start"] + 1, F.col("r")[0]["stop"] - F.col("r")[0]["start"])).otherwise("")
+    return found.select("doc_id", said.alias("places"), first.alias("matched"))

@@ -83,7 +83,7 @@ _TOKEN = r"[\p{L}\p{N}]+(?:[''.][\p{L}\p{N}]+)*"
 
 
 @query(rf"""
-with t as (select distinct doc_id, unnest(regexp_extract_all(replace(strip_accents(lower(replace(text, '’', chr(39)))), 'ß', 'ss'), '{_TOKEN}')) as word from documents),
+with t as (select distinct doc_id, unnest(regexp_extract_all(replace(strip_accents(lower(translate(text, '`´ʹʼ՚‘’‛＇', repeat(chr(39), 9)))), 'ß', 'ss'), '{_TOKEN}')) as word from documents),
 a(query_word, asked) as (values {", ".join(f"('{w}', '{a}')" for w in sorted(query_words(_SOFT)) for a in spelling_alternatives(w))}),
 m as (select query_word, word, 1 - min(damerau_levenshtein(word, asked)) * 1.0::double / greatest(length(query_word), length(word)) as score from (select distinct word from t), a
       where abs(length(word) - length(asked)) <= 2 and damerau_levenshtein(word, asked) <= 2 group by query_word, word),

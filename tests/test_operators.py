@@ -76,7 +76,7 @@ def test_scalars(spark):
     assert [r["c"] for r in y.collect()] == [1, 1, 2, 20, 0]
     texts = spark.createDataFrame([("Étude  Groß’s",), (None,), ("",)], "t string")
     assert [r[0] for r in texts.select(T.fold("t")).collect()] == ["etude  gross's", None, ""]
-    assert [r[0] for r in texts.select(T.slug(F.col("t"))).collect()] == ["etude-gross-s", None, ""]
+    assert [r[0] for r in texts.select(T.slug(F.col("t"))).collect()] == ["etude-grosss", None, ""]
     urls = spark.createDataFrame([("https://a.b/c",), ("java\nscript:x",), (" HTTP://x",), ("ftp://x",), (None,)], "u string")
     assert [r[0] for r in urls.select(P.safe_url(F.col("u"))).collect()] == [True, False, True, False, None]
 
