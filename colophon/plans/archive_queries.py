@@ -108,17 +108,32 @@ def bm25_topk(spark, d):
     return S.bm25(table(spark, d, "documents"), ["licensed", "idiot"])
 
 
-@query("""
-with r as (select item_id as query_id, doc_id as id, row_number() over (partition by item_id order by doc_id) as rank from benchmark b join documents d on contains(lower(d.text), lower(b.text)))
-select count(*) as queries, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 4) as recall, round(avg(case when rank <= 10 then 1.0 / rank else 0 end), 4) as mrr
-from (select item_id, (select min(rank) from r where query_id = item_id) as rank from benchmark)""")
+#: Passages ranked by likeness of their runs, beside the documents that hold them whole.
+RETRIEVAL_SQL = rf"""
+with rows as (select -1 - item_id as doc_id, text from benchmark union all select doc_id, text from documents),
+t as (select doc_id, regexp_extract_all(lower(text), '{_TOKEN}') as w from rows),
+g as (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - least(3, len(w)) + 1, 1) + 1), lambda i: array_to_string(w[i : i + least(3, len(w)) - 1], ' '))) as grams from t where len(w) > 0),
+r as (select doc_id, len(grams) as n, unnest(grams) as gram from g),
+s as (select q.doc_id as query_id, q.n as qn, r.doc_id as id, r.n as n, count(*) as shared from r q join r on q.gram = r.gram and q.doc_id <> r.doc_id where q.doc_id < 0 group by all),
+ranked as (select query_id, id, row_number() over (partition by query_id order by round(shared * 1.0 / (n + qn - shared), 6) desc, id) as rank from s),
+items as (select -1 - item_id as query_id, text, case when item_id % 2 = 0 then 'even' else 'odd' end as kind from benchmark),
+expected as (select query_id, kind, doc_id as id from items i left join documents d on contains(lower(d.text), lower(i.text))),
+best as (select query_id, kind, min(rank) filter (rank <= 10) as rank from expected left join ranked using (query_id, id) group by all)
+select BY count(*) as queries, round(avg(case when rank is not null then 1.0 else 0.0 end), 4) as recall, round(avg(coalesce(1.0 / rank, 0)), 4) as mrr from best GROUP"""
+
+
+def retrieved(spark, d):
+    """(ranked, expected) of the benchmark's passages, whose ids are below 0."""
+    items = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "text", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ranked = S.similar_texts(items.select(F.col("query_id").alias("doc_id"), "text").unionByName(docs), F.col("doc_id") < 0)
+    hits = S.passage_hits(docs.withColumnRenamed("doc_id", "id"), items)
+    return ranked, items.select("query_id", "kind").join(hits, "query_id", "left")
+
+
+@query(RETRIEVAL_SQL.replace("BY count", "count").replace("GROUP", ""))
 def retrieval_metrics(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = S.passage_hits(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    first = ranked.where("rank = 1")
-    expected = items.join(first, "query_id", "left").select("query_id", F.coalesce("id", F.lit(-1)).alias("id"))
-    return S.retrieval_metrics(ranked, expected)
+    return S.retrieval_metrics(*retrieved(spark, d))
 
 
 @query("""

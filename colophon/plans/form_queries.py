@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import transliterate as R
 from ..operators import hashtree as H
+from ..operators import history as Y
+from ..operators import rollup as U
 from ..schema import table
 from .registry import query
 
@@ -72,3 +76,52 @@ def places_in_scripts(spark, d):
     said = F.array_join(F.transform("r", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), " ")
     first = F.when(F.size("r") > 0, F.col("t").substr(F.col("r")[0]["start"] + 1, F.col("r")[0]["stop"] - F.col("r")[0]["start"])).otherwise("")
     return found.select("doc_id", said.alias("places"), first.alias("matched"))
+
+
+@query("""
+with c as (select doc_id as chunk_id, doc_id // 5 as work, lang as variant, nullif(trim(case doc_id % 4 when 0 then '' when 1 then ' ' else source end), '') as engine, doc_id % 3 as page, n_chars from documents),
+e as (select variant, engine, count(distinct work) as works from c where engine is not null group by all),
+v as (select variant, count(distinct work) as works, count(distinct case when engine is not null then work end) as known, count(distinct case when engine is null then work end) as unknown,
+             count(distinct case when n_chars >= 1000 then work end) as long, count(distinct case when page = 0 then work end) as loose from c group by 1),
+n as (select v.*, coalesce((select list({'engine': engine, 'works': works} order by engine) from e where e.variant = v.variant), []) as engines from v)
+select count(distinct work) as works, count(distinct case when page > 0 then work end) as aligned_works, count(distinct case when page > 0 then {'w': work, 'p': page} end) as pages, count(distinct chunk_id) as chunks,
+       count(distinct case when n_chars >= 1000 then work end) as long, count(distinct case when page = 0 then work end) as loose,
+       cast((select to_json(list({'variant': variant, 'works': works, 'known': known, 'unknown': unknown, 'long': long, 'loose': loose, 'engines': engines} order by variant)) from n) as varchar) as variants
+from c""")
+def text_tree(spark, d):
+    docs = table(spark, d, "documents")
+    engine = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, " ").otherwise(F.col("source"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 5).alias("work"), F.col("lang").alias("variant"), engine.alias("engine"), (F.col("doc_id") % 3).alias("page"), "n_chars")
+    return U.text_tree(chunks, {"long": F.col("n_chars") >= 1000, "loose": F.col("page") == 0}).withColumn("variants", F.to_json("variants"))
+
+
+_EVENTS = "select event_id // 40 as page, ts, event_id as seq, case event_type when 'click' then 'edit' when 'view' then 'approve' when 'signup' then 'submit' else 'withdraw' end as kind, user_id as actor, props as text from events"
+
+
+@query(f"""
+with e as ({_EVENTS}), t as (select unnest([timestamp '2024-01-05 00:00:00', timestamp '2024-01-15 12:00:00', timestamp '2025-01-01 00:00:00']) as "at"),
+b as (select e.*, "at", struct_pack(ts := ts, seq := seq) as w from e join t on ts <= "at"),
+h as (select page, "at", max(w) as w, arg_max(text, w) as text, arg_max(actor, w) as editor, count(*) as edits from b where kind = 'edit' group by 1, 2),
+s as (select page, "at", actor, arg_max(kind, w) as kind, max(w) as w from b where kind in ('approve', 'withdraw') group by 1, 2, 3),
+m as (select page, "at", max(w) as w from b where kind = 'submit' group by 1, 2),
+a as (select h.page, h."at", count(s.actor) as approvals from h left join s on s.page = h.page and s."at" = h."at" and s.kind = 'approve' and s.w > h.w and s.actor <> h.editor group by 1, 2)
+select h.page, h.at::varchar as "at", h.text, h.editor, h.edits, a.approvals, case when approvals >= 2 then 'approved' when m.w > h.w then 'submitted' else 'draft' end as state
+from h join a using (page, "at") left join m using (page, "at")""")
+def page_states_at(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "view", "approve").when(F.col("event_type") == "signup", "submit").otherwise("withdraw")
+    events = e.select(F.floor(F.col("event_id") / 40).alias("page"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").alias("actor"), F.col("props").alias("text"))
+    times = [datetime(2024, 1, 5), datetime(2024, 1, 15, 12), datetime(2025, 1, 1)]
+    return Y.states_at(events, times).withColumn("at", F.col("at").cast("string"))
+
+
+@query("""
+with l as (select l_suppkey as record, 'diff' as kind, l_orderkey * 10 + l_linenumber as id, l_shipdate::timestamp as ts, l_returnflag || l_linestatus as detail from lineitem
+           union all select o_custkey % (select count(*) from supplier) + 1, 'revision', o_orderkey, o_orderdate::timestamp, o_orderstatus from orders)
+select record, kind, id, ts::varchar as ts, detail, n::int as n from (select *, row_number() over (partition by record order by ts desc, kind, id desc) as n from l) where n <= 20""")
+def merged_history(spark, d):
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    suppliers = table(spark, d, "supplier").count()
+    diffs = l.select(F.col("l_suppkey").alias("record"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_returnflag", "l_linestatus")
+    revisions = o.select((F.col("o_custkey") % suppliers + 1).alias("record"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderstatus")
+    return Y.merged_history({"diff": (diffs, F.concat("l_returnflag", "l_linestatus")), "revision": (revisions, F.col("o_orderstatus"))}).withColumn("ts", F.col("ts").cast("string"))

@@ -9,6 +9,7 @@ from ..operators import ledger as L
 from ..operators import search as S
 from ..operators import textstats as X
 from ..schema import table
+from .archive_queries import RETRIEVAL_SQL, retrieved
 from .registry import query
 
 _LINES = r"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: trim(x)), lambda x: x <> '')"
@@ -136,15 +137,9 @@ def reference_sections(spark, d):
     return docs.select("doc_id", F.length(X.reference_sections(text)).alias("chars"))
 
 
-@query(r"""
-with i as (select item_id, case when item_id % 2 = 0 then 'even' else 'odd' end as kind, text from benchmark), r as (select item_id, doc_id, row_number() over (partition by item_id order by doc_id) as rank from i join documents d on contains(lower(d.text), lower(i.text)))
-select kind, count(*) as queries, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 4) as recall, round(avg(case when rank <= 10 then 1.0 / rank else 0 end), 4) as mrr from i left join (select * from r where rank = 1) using (item_id) group by 1""")
+@query(RETRIEVAL_SQL.replace("BY count", "kind, count").replace("GROUP", "group by kind"))
 def retrieval_by_kind(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
-    hits = S.passage_hits(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), items)
-    first = hits.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("rank", F.lit(1))
-    expected = items.join(first.select("query_id", "id"), "query_id", "left").select("query_id", "kind", F.coalesce("id", F.lit(-1)).alias("id"))
-    return S.retrieval_metrics(first, expected, by=["kind"])
+    return S.retrieval_metrics(*retrieved(spark, d), by=["kind"])
 
 
 @query("""
