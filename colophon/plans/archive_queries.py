@@ -108,11 +108,11 @@ def bm25_topk(spark, d):
     return S.bm25(table(spark, d, "documents"), ["licensed", "idiot"])
 
 
-#: Passages ranked by likeness of their runs, beside the documents that hold them whole.
+#: Passages ranked by likeness of their words, beside the documents that hold them whole.
 RETRIEVAL_SQL = rf"""
 with rows as (select -1 - item_id as doc_id, text from benchmark union all select doc_id, text from documents),
 t as (select doc_id, regexp_extract_all(lower(text), '{_TOKEN}') as w from rows),
-g as (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - least(3, len(w)) + 1, 1) + 1), lambda i: array_to_string(w[i : i + least(3, len(w)) - 1], ' '))) as grams from t where len(w) > 0),
+g as (select doc_id, list_distinct(w) as grams from t where len(w) > 0),
 r as (select doc_id, len(grams) as n, unnest(grams) as gram from g),
 s as (select q.doc_id as query_id, q.n as qn, r.doc_id as id, r.n as n, count(*) as shared from r q join r on q.gram = r.gram and q.doc_id <> r.doc_id where q.doc_id < 0 group by all),
 ranked as (select query_id, id, row_number() over (partition by query_id order by round(shared * 1.0 / (n + qn - shared), 6) desc, id) as rank from s),
@@ -126,7 +126,7 @@ def retrieved(spark, d):
     """(ranked, expected) of the benchmark's passages, whose ids are below 0."""
     items = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "text", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    ranked = S.similar_texts(items.select(F.col("query_id").alias("doc_id"), "text").unionByName(docs), F.col("doc_id") < 0)
+    ranked = S.similar_texts(items.select(F.col("query_id").alias("doc_id"), "text").unionByName(docs), F.col("doc_id") < 0, width=1)
     hits = S.passage_hits(docs.withColumnRenamed("doc_id", "id"), items)
     return ranked, items.select("query_id", "kind").join(hits, "query_id", "left")
 
