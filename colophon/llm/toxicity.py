@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ EXAMPLES = 2000
 #: words, of which every two texts share some by chance, weigh no more than those of one in 300.
 SMOOTHING = 0.003
 #: Neighbours that vote, examples in a block, blocks looked into at once.
-NEIGHBOURS, BLOCK, STEP = 101, 32, 40
+NEIGHBOURS, BLOCK, STEP = 101, 256, 8
+#: Texts whose common terms are multiplied at once.
+AT_ONCE = 256
 #: Neighbours, the nearest ones, that are given as evidence.
 EVIDENCE = 10
 #: Terms in this share of the examples are held as whole rows, not by block.
-COMMON = 0.1
+COMMON = 0.05
 #: A word's first letters are a term too, so inflected forms meet.
 PREFIX = 4
 
@@ -81,11 +84,21 @@ class BlockMaxIndex:
         self.start = np.concatenate((first, [len(term)])).astype(np.int32)
         self.highest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest cosine, and those; exact, ties to the first example."""
-        row = self.row[terms]
-        common = row >= 0
-        scores = (weights[common].astype(np.float32) @ self.rows[row[common]]).astype(np.float64)
+    def by_common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms of some queries add to each example: one product of matrices."""
+        dense = np.zeros((len(vectors), len(self.rows)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            dense[i, row[row >= 0]] = weights[row >= 0]
+        return dense @ self.rows
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, leave: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the highest cosine, and those; exact, ties to the first example.
+
+        ``base``: the query's row of ``by_common``.
+        """
+        common = self.row[terms] >= 0
+        scores = (self.by_common([(terms, weights)])[0] if base is None else base).astype(np.float64)
         terms, weights = terms[~common], weights[~common]
         low = self.cells[terms]
         sizes = self.cells[terms + 1] - low
@@ -113,8 +126,10 @@ class BlockMaxIndex:
         scores = np.where(seen.ravel(), scores, 0.0)[: self.n]
         if leave >= 0:
             scores[leave] = 0
-        best = np.argsort(-scores, kind="stable")[:k]
-        best = best[scores[best] > 0]
+        # All that may be among the best, then those in order.
+        least = max(np.partition(scores, -k)[-k] if len(scores) > k else 0.0, np.nextafter(0, 1))
+        some = np.flatnonzero(scores >= least)
+        best = some[np.argsort(-scores[some], kind="stable")][:k]
         return best, scores[best]
 
 
@@ -144,6 +159,12 @@ class ToxicityModel:
             weights = (1 + np.log(counts.astype(np.float32))) * self.idf[terms]
             yield terms, weights / np.sqrt((weights**2).sum()) if len(terms) else weights
 
+    def _with_common(self, texts: list[str | None]) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        """The vectors of texts, each beside its row of the index's ``by_common``; some texts at once."""
+        vectors = self.vectors(texts)
+        while some := list(islice(vectors, AT_ONCE)):
+            yield from zip(some, self.index.by_common(some), strict=True)
+
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the toxic among the neighbours, each weighted by its squared cosine."""
         weights = cosines**2
@@ -170,8 +191,8 @@ class ToxicityModel:
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Probability that each text is toxic, and its neighbours with their cosines."""
         kept(("toxicity", self.key), dict)
-        for terms, weights in self.vectors(texts):
-            best, cosines = self.index.nearest(terms, weights) if len(terms) and self.index.n else (np.zeros(0, np.int64), np.zeros(0))
+        for (terms, weights), base in self._with_common(texts):
+            best, cosines = self.index.nearest(terms, weights, base=base) if len(terms) and self.index.n else (np.zeros(0, np.int64), np.zeros(0))
             yield float(1 / (1 + np.exp(-(self.slope * self.vote(best, cosines) + self.shift)))), best, cosines
 
 
