@@ -271,7 +271,12 @@ def judge_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns, that score below ``threshold``. Nothing is shuffled."""
+    """The documents, all columns, that score below ``threshold``. Nothing is shuffled.
+
+    A model of labels of one class tells nothing apart, so nothing goes.
+    """
+    if len(set(model.toxic)) < 2:
+        return documents
     spark = documents.sparkSession
     bounded_batches(spark)
     shared, at = spark.sparkContext.broadcast(model), documents.columns.index("text")
