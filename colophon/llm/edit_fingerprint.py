@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
@@ -137,6 +137,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * same / (1 + same)
 
 
+#: Digits in which fingerprints that link may differ: one segment more, and one of them is equal.
+_DIFFERING = int(np.flatnonzero(likeness(np.tri(SAMPLES + 1, SAMPLES, -1), np.zeros(SAMPLES)) >= LEAST_LIKENESS)[-1])
+_SEGMENTS = np.array_split(np.arange(SAMPLES), _DIFFERING + 1)
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last quarter replaced by the start of the following one."""
     n = len(text) // 4
@@ -239,25 +244,44 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, n): keys that two or more hold."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """(block, print) of (key, n, print): a key of more than PAIRED in parts, a block for every two."""
+    parts = F.when(F.col("n") > PAIRED, F.ceil(F.col("n") * 2 / PAIRED)).otherwise(1).cast("int")
+    dealt = keyed.select("key", "print", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "print")
+
+
 def edit_classes(fingerprints: DataFrame) -> DataFrame:
     """``fingerprints`` (doc_id, fingerprint, ...) with ``class_id``: the smallest doc_id that links reach.
 
     Fingerprints link if their likeness is LEAST_LIKENESS or more. Equal ones are one
     first. Those that share a band, which samples BAND of the digits, are compared with
-    each other; a band of more than PAIRED is dealt out in parts, every two of which
-    meet in a task of their own, so all its pairs are compared all the same. A class
-    whose doc_ids are all null has a null class_id.
+    each other. Within a band of more than PAIRED only those meet that have a segment
+    equal: fingerprints that link differ in fewer digits than there are segments, so no
+    link is lost. A segment that is still held by more than PAIRED is dealt out in parts by
+    hash, every two of which meet in a task of their own. No task counts, numbers or
+    holds a whole band. A class whose doc_ids are all null has a null class_id.
     """
     print_of = F.xxhash64("fingerprint")
     classes = stored(fingerprints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("print", print_of), "prints")
     digit = lambda i: F.substring("fingerprint", i + 1, 1)
     bands = F.array(*[F.xxhash64(F.lit(i), F.concat(*map(digit, places))) for i, places in enumerate(_PLACES)])
     keyed = classes.select(F.explode(bands).alias("key"), "print")
-    own = F.row_number().over(Window.partitionBy("key").orderBy("print"))
-    counted = keyed.withColumns({"n": F.count("*").over(Window.partitionBy("key")), "turn": own}).where("n > 1")
-    parts = F.when(F.col("n") > PAIRED, F.ceil(F.col("n") * 2 / PAIRED)).otherwise(1).cast("int")
-    dealt = counted.withColumn("own", F.col("turn") % parts).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocks = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "print").distinct()
+    sizes = stored(_shared(keyed), "bands")
+    blocks = _dealt(keyed.join(sizes.where(F.col("n") <= PAIRED), "key"))
+    crowded = sizes.where(F.col("n") > PAIRED).select("key")
+    if not crowded.isEmpty():
+        of_band = keyed.join(crowded, "key").join(classes.select("print", "fingerprint"), "print")
+        part = lambda i, at: F.xxhash64("key", F.lit(i), F.substring("fingerprint", int(at[0]) + 1, len(at)))
+        parted = stored(of_band.select(F.explode(F.array(*[part(i, at) for i, at in enumerate(_SEGMENTS)])).alias("key"), "print"), "segments")
+        blocks = blocks.union(_dealt(parted.join(_shared(parted), "key")))
+    blocks = blocks.distinct()
     members = blocks.join(classes.select("print", "fingerprint"), "print").select("block", "print", "fingerprint")
     count = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     linked = members.repartition(count, "block").sortWithinPartitions("block").mapInArrow(_linked, "a long, b long").distinct()
