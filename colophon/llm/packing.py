@@ -106,7 +106,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pieces.repartitionByRange(parts, "length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start")
+    # The hash parts pieces that repeat an id, null ones too.
+    order = ["length", "doc_id", "start", F.xxhash64(*pieces.columns)]
+    ordered = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
     ranked = stored(ordered.withColumns({"p": F.shiftright(at, 33).cast("int"), "i": at.bitwiseAND((1 << 33) - 1)}), "ranked")
 
