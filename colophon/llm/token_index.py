@@ -9,10 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_folder
+from .common import bounded_batches, shared_folder, stored
 from .tokens import encoded_batches
 
 MAGIC = b"WMX1"
@@ -20,6 +20,10 @@ MAGIC = b"WMX1"
 BLOCK = 512
 #: A shard closes at this many ids; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
+#: Characters of a text that the ranges of an index are parted by, after doc_id.
+OPENING = 64
+#: Ids of a shard that are looked up in one row.
+ASKED = 1 << 16
 
 _SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("body", pa.binary())])
 _SHARD_DDL = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, lengths array<long>, body binary"
@@ -180,7 +184,9 @@ def write_token_index(documents: DataFrame, tokenizer: str, path: str, end_id: i
     spark = documents.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # How a text begins orders it as the whole does, and parts the rows of one id, null ones too.
+    ordered = ordered.repartitionByRange(parts, "doc_id", F.left("text", F.lit(OPENING))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_shards(tokenizer, end_id, shard_tokens), _SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
 
@@ -198,6 +204,15 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"part": np.full(len(lengths), shard["part"], np.int32), "doc_id": pa.array(shard["doc_ids"], pa.int64()), "start": starts + shard["part_start"], "n_tokens": lengths, "ids_crc32": np.array(crcs, np.int64)})
 
 
+def _bases(sums: DataFrame) -> DataFrame:
+    """(part, base) of (part, n): the sum before each part; one row per task that wrote, on the driver."""
+    base, rows = 0, []
+    for r in sorted(sums.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        rows.append((r["part"], base))
+        base += r["n"]
+    return sums.sparkSession.createDataFrame(rows, "part int, base long")
+
+
 def indexed_documents(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards.
 
@@ -206,13 +221,9 @@ def indexed_documents(spark, path: str) -> DataFrame:
     """
     bounded_batches(spark)
     shards = read_token_index(spark, path)
-    totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    base, bases = 0, []
-    for part in sorted(totals):
-        bases.append((part, base))
-        base += totals[part]
+    bases = _bases(shards.select("part", F.col("n_tokens").alias("n")))
     rows = shards.mapInArrow(_documents, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
@@ -226,6 +237,67 @@ def count_token(shards: DataFrame, token: int) -> DataFrame:
     return shards.select("part", "shard", "body").mapInArrow(run, "part int, shard int, occurrences long")
 
 
+def tokens_at(spark, path: str, positions: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(position, doc_id, place, token): what stands at each of ``positions`` (position) of the index.
+
+    ``position`` counts ids over the whole index, ``place`` within the document. A
+    position finds its shard by an equi-join on steps of ``shard_tokens``; of a shard
+    ASKED positions at most go to a task together with its matrix. Positions outside
+    the index and null ones give no row; repeated ones one.
+    """
+    bounded_batches(spark)
+    shards = read_token_index(spark, path)
+    spans = shards.select("part", "shard", "part_start", "n_tokens")
+    spans = spans.join(F.broadcast(_bases(spans.select("part", F.col("n_tokens").alias("n")))), "part").select("part", "shard", (F.col("base") + F.col("part_start")).alias("first"), "n_tokens").where("n_tokens > 0")
+    step = lambda at: F.floor(at / F.lit(shard_tokens))
+    spans = spans.withColumn("step", F.explode(F.sequence(step(F.col("first")), step(F.col("first") + F.col("n_tokens") - 1))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position is not null").distinct().withColumn("step", step(F.col("position")))
+    met = asked.join(spans, "step").where("position >= first and position < first + n_tokens")
+    local = met.select("part", "shard", "first", (F.col("position") - F.col("first")).alias("at"))
+    lists = local.groupBy("part", "shard", "first", F.floor(F.col("at") / F.lit(ASKED)).alias("lot")).agg(F.sort_array(F.collect_list("at")).alias("ats"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at, matrix, ends = np.array(row["ats"], np.int64), WaveletMatrix.from_bytes(row["body"]), np.cumsum(row["lengths"])
+                doc = np.searchsorted(ends, at, "right")
+                place = at - (ends[doc] - np.array(row["lengths"], np.int64)[doc])
+                tokens = np.array([matrix.access(i) for i in at.tolist()], np.int64)
+                yield pa.RecordBatch.from_pydict({"position": at + row["first"], "doc_id": pa.array([row["doc_ids"][i] for i in doc.tolist()], pa.int64()), "place": place, "token": tokens})
+
+    return lists.join(shards.select("part", "shard", "doc_ids", "lengths", "body"), ["part", "shard"]).select("first", "ats", "doc_ids", "lengths", "body").mapInArrow(run, "position long, doc_id long, place long, token long")
+
+
+def nth_occurrences(spark, path: str, token: int, ks: list[int]) -> DataFrame:
+    """(k, position, doc_id, place): where the k-th occurrences of a token id stand, counted from 0.
+
+    Shards are counted by rank; sums over the parts say which shard holds the k-th, and
+    select within that one finds it. A k of no occurrence, or a negative one, gives no
+    row. ``ks`` is a stated list, held by the plan.
+    """
+    bounded_batches(spark)
+    shards = read_token_index(spark, path)
+    counts = stored(count_token(shards, token), "counts")
+    before = F.sum("occurrences").over(Window.partitionBy("part").orderBy("shard")) - F.col("occurrences")
+    counted = counts.withColumn("before", before).join(F.broadcast(_bases(counts.select("part", F.col("occurrences").alias("n")))), "part")
+    low = F.col("base") + F.col("before")
+    wanted = F.filter(F.array(*map(F.lit, sorted(set(ks)))).cast("array<long>"), lambda k: (k >= low) & (k < low + F.col("occurrences")))
+    holding = counted.select("part", "shard", low.alias("low"), wanted.alias("ks")).where(F.size("ks") > 0)
+    starts = _bases(shards.select("part", F.col("n_tokens").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ks, matrix, ends = np.array(row["ks"], np.int64), WaveletMatrix.from_bytes(row["body"]), np.cumsum(row["lengths"])
+                at = np.array([matrix.occurrence(token, k) for k in (ks - row["low"]).tolist()], np.int64)
+                doc = np.searchsorted(ends, at, "right")
+                place = at - (ends[doc] - np.array(row["lengths"], np.int64)[doc])
+                yield pa.RecordBatch.from_pydict({"k": ks, "position": at + row["base"] + row["part_start"], "doc_id": pa.array([row["doc_ids"][i] for i in doc.tolist()], pa.int64()), "place": place})
+
+    found = holding.join(shards.select("part", "shard", "part_start", "doc_ids", "lengths", "body"), ["part", "shard"]).join(F.broadcast(starts), "part")
+    return found.select("low", "ks", "base", "part_start", "doc_ids", "lengths", "body").mapInArrow(run, "k long, position long, doc_id long, place long")
+
+
 def round_trip(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write an index to the shared folder and return what it says of every document."""
     spark = documents.sparkSession
