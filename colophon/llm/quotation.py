@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
@@ -106,3 +106,64 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         .join(_threads(links), ["conv_id", "turn"], "left")
         .select("conv_id", F.coalesce("thread_turn", "turn").alias("thread_turn"), "turn", "role", "parent_turn", F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted_lines", "max_level", "text")
     )
+
+
+def _reply_order(ordered: DataFrame) -> DataFrame:
+    """(conv_id, turn, place): where each message of ``ordered`` stands when every reply follows what
+    it answers, with all replies to it, before the next reply to the same message.
+
+    The walk around a thread enters and leaves each message once. What follows a step is
+    known from parents and siblings alone, and pointer doubling sums the entries from
+    each step to the thread's end, so a thread of any shape takes as many rounds as its
+    length has bits, and no task holds a thread.
+    """
+    first = ordered.groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
+    siblings = Window.partitionBy("conv_id", "parent_turn").orderBy("turn")
+    after = F.when(F.col("parent_turn").isNotNull(), F.lead("turn").over(siblings))
+    nodes = ordered.withColumn("next", after).join(first.where("turn is not null"), ["conv_id", "turn"], "left")
+    step = lambda turn, leaves: F.struct(turn.alias("turn"), F.lit(leaves).alias("leaves"))
+    enter = F.coalesce(F.when(F.col("child").isNotNull(), step(F.col("child"), False)), step(F.col("turn"), True))
+    leave = F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("parent_turn").isNotNull(), step(F.col("parent_turn"), True))
+    steps = nodes.select("conv_id", F.explode(F.array(F.struct(step(F.col("turn"), False).alias("at"), enter.alias("to"), F.lit(1).alias("n")), F.struct(step(F.col("turn"), True).alias("at"), leave.alias("to"), F.lit(0).alias("n")))).alias("s")).select("conv_id", "s.*")
+    at = stored(steps, "steps")
+    for _ in range(_ROUNDS):
+        ahead = at.select("conv_id", F.col("at").alias("to"), F.col("to").alias("further"), F.col("n").alias("more"))
+        at = stored(at.join(ahead, ["conv_id", "to"], "left").select("conv_id", "at", F.col("further").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "steps")
+        if at.where("to is not null").isEmpty():
+            break
+    entered = at.where("not at.leaves").select("conv_id", F.col("at.turn").alias("turn"), F.col("n").alias("left"))
+    return entered.select("conv_id", "turn", (-F.col("left")).alias("place"))
+
+
+def conversations(messages: DataFrame, most: int = 1000) -> DataFrame:
+    """(conv_id, thread_turn, part, messages): threads without quotes, formatted as records.
+
+    ``messages`` is an array of (role, text, turn, parent_turn, depth) in depth-first reply
+    order: each reply and all that answers it stand before the next reply to the same
+    message. A thread of more than ``most`` messages goes on in further records, part 0, 1
+    and so on, each with the places after those of the one before it, so no record is
+    without a bound. Messages whose text is empty without quotes stay.
+
+    Nulls as in ``reply_ordered``: a message with a null conv_id or turn is a record of its
+    own. Rows that repeat a conv_id and turn stand one after another, in the order of role
+    and text. An empty table gives none.
+    """
+    rows = stored(reply_ordered(messages), "messages")
+    known = rows.where("conv_id is not null and turn is not null")
+    linked = known.select("conv_id", "turn", "parent_turn", "thread_turn").distinct()
+    places = _reply_order(linked.select("conv_id", "turn", "parent_turn"))
+    # Copies of a turn take further places of their own, so parts are cut by rows.
+    copies = known.groupBy("conv_id", "thread_turn", "turn").agg(F.count("*").alias("copies"))
+    placed = copies.join(places, ["conv_id", "turn"])
+    before = F.sum("copies").over(Window.partitionBy("conv_id", "thread_turn").orderBy("place")) - F.col("copies")
+    starts = placed.select("conv_id", "turn", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
+    at = known.join(starts, ["conv_id", "turn"]).withColumn("at", F.col("before") + own)
+    message = F.struct("role", "text", "turn", "parent_turn", "depth")
+    records = (
+        at.groupBy("conv_id", "thread_turn", F.floor(F.col("at") / F.lit(most)).cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", message.alias("m")))).alias("found"))
+        .select("conv_id", "thread_turn", "part", F.transform("found", lambda x: x["m"]).alias("messages"))
+    )
+    alone = rows.where("conv_id is null or turn is null").select("conv_id", "thread_turn", F.lit(0).alias("part"), F.array(message).alias("messages"))
+    return records.unionByName(alone)
