@@ -28,10 +28,11 @@ def runs_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     kana = F.filter(script_runs(F.col("kana_text"), "kana"), lambda r: r.rlike(r"[\p{IsKatakana}&&[^ー]]"))
     latn = F.transform(script_runs(F.col("line"), "latn"), lambda r: F.lower(r))
     tagged = lambda c, name: F.transform(c, lambda r: F.struct(F.lit(name).alias("channel"), r.alias("run")))
-    anchored = F.struct(*[F.length(F.regexp_replace("line", f"(?!{p})[\\s\\S]", "")).alias(x) for x, p in ANCHORS.items()])
-    cut = lines.select(*keys, text.alias("line")).withColumn("kana_text", F.when(F.col("line").rlike(r"\p{IsKatakana}"), unvoiced_kana("line")))
+    anchored = F.struct(*[F.regexp_count("line", F.lit(p)).alias(x) for x, p in ANCHORS.items()])
+    # Counted before runs are parted: beside the generator it would be counted anew for every run.
+    cut = lines.select(*keys, text.alias("line")).withColumn("anchored", anchored).withColumn("kana_text", F.when(F.col("line").rlike(r"\p{IsKatakana}"), unvoiced_kana("line")))
     runs = F.concat(F.coalesce(tagged(kana, "kana"), F.array()), tagged(latn, "latn"))
-    return cut.select(*keys, anchored.alias("anchored"), F.explode_outer(runs).alias("r")).select(*keys, "anchored", "r.channel", "r.run")
+    return cut.select(*keys, "anchored", F.explode_outer(runs).alias("r")).select(*keys, "anchored", "r.channel", "r.run")
 
 
 def profiles_of(lines: DataFrame) -> DataFrame:
@@ -67,10 +68,10 @@ def language_composition(lines: DataFrame, profiles: DataFrame, lexicon: DataFra
     names = sorted({r["lang"] for r in totals})
     seen = runs_of_lines(lines, ["doc_id", "line_no"])
     direct = lines.select("doc_id", compatible(F.coalesce("text", F.lit(""))).alias("line"))
-    direct = direct.select("doc_id", F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.length(F.regexp_replace("line", f"(?!{p})[\\s\\S]", "")).alias("chars")) for x, p in ANCHORS.items()])).alias("c"))
+    direct = direct.select("doc_id", F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.regexp_count("line", F.lit(p)).alias("chars")) for x, p in ANCHORS.items()])).alias("c"))
     counted = direct.select("doc_id", "c.lang", "c.chars")
 
-    by = profiles.groupBy("channel", "gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("cnt"))).alias(f"c{i}") for i, x in enumerate(names)])
+    by = profiles.groupBy("channel", "gram").agg(F.sum("cnt").alias("attested"), *[F.sum(F.when(F.col("lang") == x, F.col("cnt"))).alias(f"c{i}") for i, x in enumerate(names)])
     sums = {(r["channel"], r["lang"]): r["total"] for r in totals}
     score = lambda i, channel, x: F.round(F.log10(F.coalesce(F.col(f"c{i}"), F.lit(0)) / F.lit(sums[channel, x]) + F.lit(UNSEEN)) * 1000000).cast("long")
     of = lambda i, x: F.coalesce(*[F.when(F.col("channel") == channel, score(i, channel, x)) for channel in SHARED if (channel, x) in sums])
