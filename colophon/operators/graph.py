@@ -125,6 +125,32 @@ def reconcile(asserted: DataFrame, live: DataFrame, keys: list[str], most_withdr
     return both
 
 
+def reconcile_statuses(asserted: DataFrame, live: DataFrame, keys: list[str], most_withdrawn: float = 0.34) -> DataFrame:
+    """(keys, action): as ``reconcile``, and ``demote`` for accepted edges that are asserted as candidates alone.
+
+    Both sides have a ``status``, accepted or candidate. Of several assertions of an edge an accepted
+    one counts, and so of several live rows. Rows with a null key are left out.
+    """
+    whole = lambda df: df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys)
+    sure = F.max(F.coalesce(F.col("status") == "accepted", F.lit(False)))
+    wanted, held = whole(asserted).agg(sure.alias("_wanted")), whole(live).agg(sure.alias("_held"))
+    actions = reconcile(wanted, held, keys, most_withdrawn)
+    both = actions.join(wanted, keys, "left").join(held, keys, "left")
+    return both.select(*keys, F.when((F.col("action") == "keep") & F.col("_held") & ~F.col("_wanted"), "demote").otherwise(F.col("action")).alias("action"))
+
+
+def usable_rows(rows: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, usable): the row that stands for each id, over all merges it went into.
+
+    ``rows``: id, status, into; an id has one row. Merged rows lead on to ``into``; null where a
+    chain ends at no row, at a soft-deleted one, at a merged one without target, or never.
+    """
+    ends = final_targets(rows.where("status = 'merged'").select("id", "into"), rounds)
+    last = rows.select("id", "status").join(ends, "id", "left").select("id", F.when(F.col("status") == "merged", F.col("target")).otherwise(F.col("id")).alias("end"))
+    standing = rows.where("status is null or status not in ('merged', 'soft_deleted')").select(F.col("id").alias("end"), F.lit(True).alias("stands"))
+    return last.join(standing, "end", "left").select("id", F.when(F.col("stands"), F.col("end")).alias("usable"))
+
+
 def final_targets(pointers: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, target): where chains of (id, into) end; ids on a cycle have a null target.
 

@@ -127,6 +127,26 @@ def set_members(claims: DataFrame, keys: list[str], arrival: list[str] = ("ts",
     return counted.select(*keys, F.explode_outer("members").alias("m")).groupBy(*keys).agg(F.array_sort(F.collect_set("m")).alias("members"))
 
 
+def field_outcomes(claims: DataFrame, keys: list[str], enums: dict[str, tuple[str, ...]], field: str = "field", arrival: list[str] = ("ts", "event_id")) -> DataFrame:
+    """The claims (keys, field, value, op), each with an ``outcome``, in order of arrival.
+
+    ``op`` is set or delete (null: set). Values outside the list of a controlled field (``enums``) are
+    ``invalid_enum``. A blank or null value is ``empty_overwrite`` where the field holds a value by
+    then, else ``none``: there is nothing to change. All other claims are ``admitted``, and an
+    admitted delete empties the field. A field holds a value if its last admitted claim sets one, so
+    this is one running window over a key's rows and no fold.
+    """
+    text = F.trim(F.coalesce(F.col("value").cast("string"), F.lit("")))
+    deletes = F.coalesce(F.col("op") == "delete", F.lit(False))
+    listed = [F.when((F.col(field) == name) & ~F.col("value").isin(*values), True) for name, values in enums.items()]
+    outside = F.coalesce(*listed, F.lit(False)) & (text != "") & ~deletes
+    changes = F.when(deletes, False).when((text != "") & ~outside, True)
+    before = Window.partitionBy(*keys, field).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last(changes, ignorenulls=True).over(before), F.lit(False))
+    outcome = F.when(deletes, "admitted").when(outside, "invalid_enum").when(text != "", "admitted").when(held, "empty_overwrite").otherwise("none")
+    return claims.withColumn("outcome", outcome)
+
+
 def appended_notes(claims: DataFrame, keys: list[str], value: str = "value", arrival: list[str] = ("ts", "event_id")) -> DataFrame:
     """(keys, note, band, score): a higher rank replaces the note, any other text is added below it.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
 from ..operators import graph as G
+from ..operators import ledger as L
 from ..schema import table
 from .registry import query
 
@@ -141,3 +142,36 @@ select user_id, min_by(props, event_id) is distinct from max_by(props, event_id)
 def edited_since_creation(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.min_by("props", "event_id").alias("a"), F.max_by("props", "event_id").alias("b"))
     return g.select("user_id", (~F.col("a").eqNullSafe(F.col("b"))).alias("edited"))
+
+
+@query("""
+with e as (select user_id, event_type, ts, case when value >= 20 then 'accepted' else 'candidate' end as status from events),
+a as (select user_id, event_type, max(status = 'accepted') as sure from e where ts >= '2024-01-10' group by 1, 2), b as (select user_id, event_type, max(status = 'accepted') as sure from e where ts < '2024-01-24' group by 1, 2)
+select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type,
+       case when b.user_id is null then 'add' when a.user_id is null then 'withdraw' when b.sure and not a.sure then 'demote' else 'keep' end as action
+from a full join b on a.user_id = b.user_id and a.event_type = b.event_type""")
+def edge_demotions(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", F.when(F.col("value") >= 20, "accepted").otherwise("candidate").alias("status"))
+    return G.reconcile_statuses(e.where("ts >= timestamp_ntz'2024-01-10'"), e.where("ts < timestamp_ntz'2024-01-24'"), ["user_id", "event_type"])
+
+
+@query("""
+with recursive r as (select o_orderkey as id, case when o_totalprice < 60000 then 'soft_deleted' when o_orderstatus = 'O' then 'active' else 'merged' end as status, case when o_orderstatus <> 'F' or o_orderkey % 5 > 0 then o_orderkey - 1 - o_custkey % 9 end as into_ from orders),
+c as (select id as first, id, status, into_ from r union all select c.first, r.id, r.status, r.into_ from c join r on c.status = 'merged' and r.id = c.into_)
+select r.id, max(case when c.status = 'active' then c.id end) as usable from r left join c on c.first = r.id group by 1""")
+def usable_records(spark, d):
+    status = F.when(F.col("o_totalprice") < 60000, "soft_deleted").when(F.col("o_orderstatus") == "O", "active").otherwise("merged")
+    into = F.when((F.col("o_orderstatus") != "F") | (F.col("o_orderkey") % 5 > 0), F.col("o_orderkey") - 1 - F.col("o_custkey") % 9)
+    return G.usable_rows(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), into.alias("into")))
+
+
+@query("""
+with e as (select *, case when event_id % 3 = 0 then 'kind' else 'note' end as field, case when value < 8 then '' when event_id % 3 = 0 then event_type else props end as v, case when event_type = 'signup' then 'delete' else 'set' end as op from events),
+o as (select *, op <> 'delete' and field = 'kind' and v <> '' and v not in ('click', 'view', 'purchase') as outside from e),
+h as (select *, last_value(case when op = 'delete' then false when v <> '' and not outside then true end ignore nulls) over (partition by user_id, field order by ts, event_id rows between unbounded preceding and 1 preceding) as held from o)
+select event_id, user_id, field, case when op = 'delete' then 'admitted' when outside then 'invalid_enum' when v <> '' then 'admitted' when held then 'empty_overwrite' else 'none' end as outcome from h""")
+def claim_refusals(spark, d):
+    field = F.when(F.col("event_id") % 3 == 0, "kind").otherwise("note")
+    value = F.when(F.col("value") < 8, "").when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("props"))
+    claims = table(spark, d, "events").select("event_id", "user_id", "ts", field.alias("field"), value.alias("value"), F.when(F.col("event_type") == "signup", "delete").otherwise("set").alias("op"))
+    return L.field_outcomes(claims, ["user_id"], {"kind": ("click", "view", "purchase")}).select("event_id", "user_id", "field", "outcome")
