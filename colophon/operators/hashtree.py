@@ -25,14 +25,15 @@ def canonical_hash(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
-def hash_tree(rows: DataFrame, order: list[str], row_hash: str = "row_hash", fan: int = FAN) -> DataFrame:
+def hash_tree(rows: DataFrame, order: list[str], row_hash: str = "row_hash", fan: int = FAN, levels: int | None = None) -> DataFrame:
     """(level, index, first, hash): a tree over rows' hashes in a total order; its one node of the highest level is the root.
 
     Level 0 has the rows in order of ``order`` and hash, each next level one node for
     ``fan`` consecutive ones: SHA-256 of their hashes, one after the other. ``first`` is the
     row's (or first row's) value of ``order`` as JSON. Rows are numbered over ranges, of which the driver
     knows their sizes alone; a level is a grouped fold of a ``fan``-th of the one below. Swapping,
-    repeating or changing rows changes the root. No rows give no nodes.
+    repeating or changing rows changes the root. No rows give no nodes. ``levels``, if given, is the
+    highest level asked for: of more than ``fan ** levels`` rows it holds several nodes and no root.
     """
     spark = rows.sparkSession
     store = Stored(spark, "tree")
@@ -46,15 +47,15 @@ def hash_tree(rows: DataFrame, order: list[str], row_hash: str = "row_hash", fan
         before += n
     offsets = spark.createDataFrame(starts, "part int, start long")
     level = store.keep(ordered.join(offsets, "part").select(F.lit(0).alias("level"), (F.col("start") + F.col("at")).alias("index"), "first", "hash"))
-    levels, n, k = [level], before, 0
-    while n > 1:
+    built, n, k = [level], before, 0
+    while n > 1 and (levels is None or k < levels):
         n, k = -(-n // fan), k + 1
         run = F.array_sort(F.collect_list(F.struct("index", "first", "hash")))
         nodes = level.groupBy(F.floor(F.col("index") / fan).alias("up")).agg(run.alias("run"))
         level = store.keep(nodes.select(F.lit(k).alias("level"), F.col("up").alias("index"), F.col("run")[0]["first"].alias("first"), F.sha2(F.array_join(F.transform("run", lambda r: r["hash"]), ""), 256).alias("hash")))
-        levels.append(level)
-    whole = levels[0]
-    for level in levels[1:]:
+        built.append(level)
+    whole = built[0]
+    for level in built[1:]:
         whole = whole.unionByName(level)
     return whole
 
