@@ -108,10 +108,15 @@ def core_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def scripts_shown(*texts: Column) -> Column:
+    """The scripts that some texts together show; none of texts without letters of any."""
+    whole = F.concat_ws(" ", *texts)
+    return F.array_compact(F.array(*[F.when(whole.rlike(f"[{c}]"), F.lit(name)) for name, c in SCRIPTS.items()]))
+
+
 def scripts_in(*texts: Column) -> Column:
     """The scripts of some texts together; Latin if none shows."""
-    whole = F.concat_ws(" ", *texts)
-    found = F.array_compact(F.array(*[F.when(whole.rlike(f"[{c}]"), F.lit(name)) for name, c in SCRIPTS.items()]))
+    found = scripts_shown(*texts)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("latn")))
 
 
