@@ -59,7 +59,7 @@ def parsed(raw: Column) -> Column:
     matched = whole.rlike(BRACKETS)
     main, note = F.when(matched, F.regexp_extract(whole, BRACKETS, 1)).otherwise(whole), F.when(matched, F.trim(F.regexp_extract(whole, BRACKETS, 2)))
     role, cjk_main, cjk_note = F.coalesce(note.rlike(ROLES), F.lit(False)), main.rlike(CJK), F.coalesce(note.rlike(CJK), F.lit(False))
-    latin_note, cyrillic_note = F.coalesce(note.rlike("[A-Za-z]"), F.lit(False)), F.coalesce(note.rlike("[Ѐ-ӿ]"), F.lit(False))
+    latin_note, cyrillic_note = F.coalesce(note.rlike(r"\p{IsLatin}"), F.lit(False)), F.coalesce(note.rlike("[Ѐ-ӿ]"), F.lit(False))
     name = F.when(role, main).when(cjk_note & ~cjk_main, note).when(cjk_main & latin_note & ~cjk_note, main).when(cyrillic_note & ~cjk_main, main).otherwise(whole)
     reading = F.when(role, None).when(cjk_note & ~cjk_main, _reading(main)).when(cjk_main & latin_note & ~cjk_note, _reading(note)).when(cyrillic_note & ~cjk_main, main)
     spaced = _squashed(F.regexp_replace(name, r"\s*,\s*", " "))
