@@ -63,3 +63,14 @@ def test_identity_rungs(spark):
         8: ("create", None, "new"),
         9: ("create", None, "new"),
     }
+
+
+def test_each_different_word_is_scored_once(spark):
+    profiles = spark.createDataFrame([("en", " th", 5), ("en", "the", 5), ("en", "he ", 5), ("fr", " le", 9)], "lang string, gram string, cnt long")
+    words = spark.createDataFrame([("the",), ("le",), ("xyz",), ("x",)], "word string")
+    found, judged = textstats.word_scores(words, profiles)
+    got = {r["word"]: (r["n"], r["informative"], r["lang"]) for r in judged(found).collect()}
+    assert got["the"] == (3, 3, "en") and got["le"] == (2, 1, "fr") and got["xyz"][:2] == (3, None) and len(got) == 4
+    lines = spark.createDataFrame([(1, 0, "the the xyz"), (1, 1, "xyz"), (2, 0, "le the le"), (3, 0, None)], "doc_id long, line_no int, text string")
+    shares = {(r["doc_id"], r["lang"]): (r["chars"], r["share"]) for r in textstats.language_shares(lines, profiles).collect()}
+    assert shares == {(1, "en"): (9, 0.75), (1, "und"): (3, 0.25), (2, "en"): (7, 1.0)}
