@@ -19,22 +19,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     """(node, rank): PageRank with fixed rounds from a uniform start.
 
     The rank of nodes without out-edges is dealt evenly to all; parallel edges count as
-    many times. Edges are stored once with their source's share, and the ranks, which a
-    round reads twice, after every round: plans stay short and a lost executor costs one
-    round. The ranks of earlier rounds are deleted.
+    many times. Only nodes with out-edges give rank on, so the rounds follow the edges
+    between those alone; what all nodes without out-edges hold together is one number,
+    carried along, and their own ranks are worked out in the last round. Edges are stored
+    once with their source's share, and ranks after every round: plans stay short and a lost
+    executor costs one round. The ranks of earlier rounds are deleted.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = _stored(edges.groupBy("src", "dst").agg(F.count("*").alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "links")
-    nodes = _stored(nodes.select("node").distinct(), "nodes")
-    n, rounds_of = nodes.count(), Stored(nodes.sparkSession, "ranks")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    sources = links.select(F.col("src").alias("node")).distinct()
-    for _ in range(rounds):
-        loose = ranks.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        given = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        ranks = rounds_of.keep(nodes.join(given, "node", "left").join(F.broadcast(loose)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank")))
+    nodes = nodes.select("node").distinct().join(links.select(F.col("src").alias("node")).distinct().withColumn("gives", F.lit(True)), "node", "left")
+    nodes = _stored(nodes.select("node", F.coalesce("gives", F.lit(False)).alias("gives")), "nodes")
+    n, givers = nodes.agg(F.count("*"), F.count_if("gives")).first()
+    if rounds < 1:
+        return nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
+    ends = links.join(nodes.select(F.col("node").alias("dst"), "gives"), "dst")
+    inner = _stored(ends.where("gives").select("src", "dst", "share"), "inner")
+    # What each node gives to nodes without out-edges.
+    lost = ends.where(~F.col("gives")).groupBy(F.col("src").alias("node")).agg(F.sum("share").alias("lost"))
+    core = _stored(nodes.where("gives").select("node").join(lost, "node", "left").select("node", F.coalesce("lost", F.lit(0.0)).alias("lost")), "core")
+    rounds_of, base = Stored(nodes.sparkSession, "ranks"), (1 - damping) / max(n, 1)
+    ranks, loose = core.withColumn("rank", F.lit(1.0 / max(n, 1))), (n - givers) / max(n, 1)
+    next_rank = lambda: F.lit(base) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / max(n, 1)))
+    passed = lambda edges: edges.join(ranks, edges.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
+    for _ in range(rounds - 1):
+        moved = ranks.agg(F.sum(F.col("rank") * F.col("lost"))).first()[0] or 0.0
+        ranks = rounds_of.keep(core.join(passed(inner), "node", "left").select("node", "lost", next_rank().alias("rank")))
         rounds_of.drop(but=1)
-    return ranks
+        loose = (n - givers) * (base + damping * loose / max(n, 1)) + damping * moved
+    return _stored(nodes.join(passed(links), "node", "left").select("node", next_rank().alias("rank")), "last")
 
 
 def significance(ranks: DataFrame) -> DataFrame:

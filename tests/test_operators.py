@@ -182,3 +182,18 @@ def test_streams(spark, tmp_path):
     usage = ledger_stream.windowed_usage(spark.read.parquet(str(source)), "user", "ts", F.col("n"))
     assert values(usage, "user", "used") == [(1, 10), (2, 7), (9, 1)]
     assert ledger_stream.user_sessions(spark.read.parquet(str(source)), "user", "ts").count() == 3
+
+
+def test_pagerank_follows_only_edges_that_go_on(spark, monkeypatch):
+    # 5 to 9 have no out-edges, 9 stands alone, 77 is no node, 4 gives to one that is none.
+    edges, nodes, kept = [(1, 2), (2, 1), (1, 5), (2, 6), (2, 6), (3, 7), (3, 1), (4, 77), (4, 8)], [1, 2, 3, 4, 5, 6, 7, 8, 9], []
+    plain = G.Stored.keep
+    monkeypatch.setattr(G.Stored, "keep", lambda self, df: kept.append((self.name, out := plain(self, df))) or out)
+    monkeypatch.setattr(G.Stored, "drop", lambda self, but=1: None)
+    rank = dict.fromkeys(nodes, 1 / 9)
+    for _ in range(6):
+        loose = sum(r for n, r in rank.items() if all(a != n for a, _ in edges))
+        rank = {n: 0.15 / 9 + 0.85 * (loose / 9 + sum(rank[a] / sum(x == a for x, _ in edges) for a, b in edges if b == n)) for n in nodes}
+    found = G.pagerank(spark.createDataFrame([(n,) for n in nodes], "node int"), spark.createDataFrame(edges, "src int, dst int"), rounds=6)
+    assert {r["node"]: r["rank"] for r in found.collect()} == pytest.approx(rank)
+    assert {df.count() for name, df in kept if name == "ranks"} == {4}
