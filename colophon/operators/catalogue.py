@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import stored
+from ..scratch import stored, tasks_for
 
 
 def except_self_facets(df: DataFrame, dimensions: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -109,9 +109,13 @@ def systematic_sample(df: DataFrame, group: list[str], order: list[str], size: i
 
 
 def runs(df: DataFrame, group: list[str], value: str, least: int = 1) -> DataFrame:
-    """(group, first, last, length) of runs of consecutive whole numbers."""
+    """(group, first, last, length) of runs of consecutive whole numbers.
+
+    Rows are dealt by group once, to as many tasks as there are rows for (``tasks_for``).
+    """
     island = F.col(value) - F.row_number().over(Window.partitionBy(*group).orderBy(value))
-    grouped = df.select(*group, value).distinct().withColumn("_island", island).groupBy(*group, "_island")
+    rows = df.select(*group, value)
+    grouped = rows.repartition(tasks_for(rows), *group).distinct().withColumn("_island", island).groupBy(*group, "_island")
     return grouped.agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("length")).where(F.col("length") >= least).drop("_island")
 
 

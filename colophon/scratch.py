@@ -19,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that one task of a shuffle is dealt.
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks among which rows are dealt, so that a task's memory does not grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+
+
 class Stored:
     """Tables written one after the other, of which those no longer read can go.
 

@@ -22,3 +22,12 @@ def test_vectors_in_slices_give_the_same(spark, monkeypatch):
     whole = nearest()
     monkeypatch.setattr(S, "BLOCK_SCORES", 20)
     assert nearest() == whole and len(whole) == 45
+
+
+def test_runs_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 10)
+    rows = [(g, v) for g in ("a", "b", None) for v in (1, 2, 2, 3, 7, 9, 10)] * 3
+    found = C.runs(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", 2)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(g, *r) for g in ("a", "b", None) for r in ((1, 3, 3), (9, 10, 2))], key=str)
+    # Dealt once: 63 rows to 7 tasks.
+    assert plan(C.runs(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", 2)).count("Exchange hashpartitioning(g") >= 1 and "hashpartitioning(g#" in plan(found) and ", 7)" in plan(found)
