@@ -119,6 +119,19 @@ def runs(df: DataFrame, group: list[str], value: str, least: int = 1) -> DataFra
     return grouped.agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("length")).where(F.col("length") >= least).drop("_island")
 
 
+def areas_of_people(orders: DataFrame, lines: DataFrame, parts: DataFrame, person: str) -> DataFrame:
+    """(person, area, works): the different orders (o_orderkey, person) of each area (p_partkey, area) of their lines.
+
+    An order's lines meet in one task, so its areas are told apart there and only counted after.
+    All is dealt to as many tasks as there are lines for.
+    """
+    n = tasks_for(lines)
+    of_lines = lines.repartition(n, "l_partkey").join(parts, lines.l_partkey == parts.p_partkey).select("l_orderkey", "area")
+    met = of_lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    different = met.select("o_orderkey", person, "area").distinct()
+    return different.repartition(n, person, "area").groupBy(person, "area").agg(F.count("*").alias("works"))
+
+
 def changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, change): added, removed or updated rows between two versions; null-safe."""
     b = before.select(F.col(key).alias("b_key"), F.struct(*fields).alias("b_row"))

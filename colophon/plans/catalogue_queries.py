@@ -115,9 +115,8 @@ def person_roles(spark, d):
 @query("""
 select o_custkey, p_type as area, count(distinct o_orderkey) as works from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey group by all""")
 def person_areas(spark, d):
-    orders, lines, parts = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
-    joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
-    return joined.groupBy("o_custkey", F.col("p_type").alias("area")).agg(F.count_distinct("o_orderkey").alias("works"))
+    orders, lines, parts = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "part").select("p_partkey", F.col("p_type").alias("area"))
+    return C.areas_of_people(orders, lines, parts, "o_custkey")
 
 
 @query("""

@@ -31,3 +31,19 @@ def test_runs_are_dealt_by_rows(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(g, *r) for g in ("a", "b", None) for r in ((1, 3, 3), (9, 10, 2))], key=str)
     # Dealt once: 63 rows to 7 tasks.
     assert plan(C.runs(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", 2)).count("Exchange hashpartitioning(g") >= 1 and "hashpartitioning(g#" in plan(found) and ", 7)" in plan(found)
+
+
+def test_areas_of_people_are_dealt_by_lines(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 10)
+    rng = random.Random(5)
+    orders = [(o, rng.choice(["x", "y", None])) for o in range(20)] + [(3, "x"), (3, "x"), (None, "y")]
+    lines = [(rng.choice([*range(25), None]), rng.randrange(8)) for _ in range(90)]
+    parts = [(p, rng.choice(["s", "t", None])) for p in range(6)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = C.areas_of_people(df(orders, "o_orderkey int, c string"), df(lines, "l_orderkey int, l_partkey int"), df(parts, "p_partkey int, area string"), "c")
+    met = {(c, a, o) for o, c in orders for k, p in lines for q, a in parts if o is not None and o == k and p == q}
+    wanted = {}
+    for c, a, _ in met:
+        wanted[c, a] = wanted.get((c, a), 0) + 1
+    assert {(r["c"], r["area"]): r["works"] for r in found.collect()} == wanted
+    assert "hashpartitioning(c#" in plan(found) and ", 9)" in plan(found)
