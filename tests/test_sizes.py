@@ -47,3 +47,10 @@ def test_areas_of_people_are_dealt_by_lines(spark, monkeypatch):
         wanted[c, a] = wanted.get((c, a), 0) + 1
     assert {(r["c"], r["area"]): r["works"] for r in found.collect()} == wanted
     assert "hashpartitioning(c#" in plan(found) and ", 9)" in plan(found)
+
+
+def test_whole_texts_go_to_python_by_the_hundred(spark):
+    df = spark.createDataFrame([("Ça the ẞ the",), (None,)], "t string")
+    for f in (T.fold("t"), N.occurrences(F.col("t"), "the"), N.title_key("t")):
+        assert "ArrowEvalPython" not in plan(df.select(f))
+    assert [tuple(r) for r in df.select(T.fold("t"), N.occurrences(F.col("t"), "the")).collect()] == [("ca the ss the", [4, 10]), (None, None)]
