@@ -1,4 +1,4 @@
-"""A stored dictionary of the words of texts, looked up by what is left when characters are deleted."""
+"""A stored dictionary of the words of texts, looked up by distance or by what is left when characters are deleted."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ from .search import query_words
 MOST_EDITS, LONG = 2, 32
 #: Folders that words and their texts are dealt to.
 BUCKETS = 64
-#: Files that the words of one length may be spread over.
-SPREAD = 16
+#: Asked words up to which they are compared with every word of like length; those of one query are fewer.
+FEW_ASKED = 512
 #: Edits that a tolerance allows: fixed values.
 TOLERANCES = {"strict": 0, "normal": 1, "loose": 2}
 
@@ -34,13 +34,14 @@ def deletions(word: Column, most: int) -> Column:
 
 
 class WordDictionary:
-    """Words of texts below a folder: ``deletions`` by word length, ``words`` with their texts by hash.
-
-    Two words within k edits (a swap of neighbours is one) leave a common text when each
-    loses at most k characters, so an equi-join on hashes of what is left finds them all, and
-    the distance itself is computed for these few. A lookup reads the folders of the
-    lengths and words it asks for. Words over LONG characters are in ``long`` and compared one by one
-    with query words of like length. Null texts have no words; rows without an id are left out.
+    """Words of texts below a folder: ``lengths``, the different words by length, ``words`` with their texts by hash.
+
+    A lookup reads the folders of the lengths and words it asks for. Up to FEW_ASKED words are
+    compared with each word of like length. Of more, two words within k edits (a swap of
+    neighbours is one) leave a common text when each loses at most k characters, so an equi-join on
+    hashes of what is left finds them all; words over LONG characters are still compared one by
+    one. The distance itself is computed for the few that are found. Null texts have no words;
+    rows without an id are left out.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -54,13 +55,8 @@ class WordDictionary:
         rows = texts.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.explode(F.array_distinct(tokens(F.lower(F.col(text))))).alias("word"))
         loose = stored(rows.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")), "loose")
         loose.repartitionByRange("bucket", "word", "doc_id").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{folder}/words")
-        words = stored(loose.select("word").distinct().withColumn("length", F.length("word")), "distinct")
-        # A word becomes hundreds of rows: as many tasks as there are, however few bytes the words have.
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        left = words.repartition(tasks, "word").where(F.col("length") <= LONG).select("length", "word", F.explode(deletions(F.col("word"), MOST_EDITS)).alias("left"))
-        hashed = left.select("length", "word", F.xxhash64("left").alias("hash"), (F.col("length") - F.length("left")).alias("deleted"))
-        hashed.repartition(tasks, "length", F.pmod("hash", F.lit(SPREAD))).sortWithinPartitions("length", "hash").write.partitionBy("length").parquet(f"{folder}/deletions")
-        words.where(F.col("length") > LONG).write.parquet(f"{folder}/long")
+        words = loose.select("word").distinct().withColumn("length", F.length("word"))
+        words.write.partitionBy("length").parquet(f"{folder}/lengths")
         spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{folder}/meta")
         return cls(spark, folder)
 
@@ -69,17 +65,22 @@ class WordDictionary:
         if not 0 <= most <= MOST_EDITS:
             raise ValueError(f"at most {MOST_EDITS} edits")
         asked = words.select("asked").distinct().withColumn("asked_length", F.length("asked"))
-        low, high = asked.agg(F.min("asked_length"), F.max("asked_length")).first()
+        low, high, n = asked.agg(F.min("asked_length"), F.max("asked_length"), F.count("*")).first()
         if low is None:
             return self.spark.createDataFrame([], "asked string, word string, distance int")
-        known = self.spark.read.schema("word string, hash long, deleted int, length int").parquet(f"{self.folder}/deletions")
-        known = known.where(F.col("length").between(low - most, high + most) & (F.col("deleted") <= most))
-        probes = asked.where(F.col("asked_length") <= LONG + most).select("asked", "asked_length", F.explode(deletions(F.col("asked"), most)).alias("left")).select("asked", "asked_length", F.xxhash64("left").alias("hash"))
-        short = known.join(probes, "hash").where(F.abs(F.col("length") - F.col("asked_length")) <= most).select("asked", "word").distinct()
+        known = self.spark.read.schema("word string, length int").parquet(f"{self.folder}/lengths").where(F.col("length").between(low - most, high + most))
         # Spark's distance counts a swap twice.
-        long = self.spark.read.schema("word string, length int").parquet(f"{self.folder}/long").where(F.col("length").between(low - most, high + most))
-        spelt = long.join(asked.where(F.col("asked_length") > LONG - most), (F.abs(F.col("length") - F.col("asked_length")) <= most) & (F.levenshtein("word", "asked", 2 * most) >= 0)).select("asked", "word")
-        pairs = short.unionByName(spelt)
+        like = (F.abs(F.col("length") - F.col("asked_length")) <= most) & (F.levenshtein("word", "asked", 2 * most) >= 0)
+        if n <= FEW_ASKED:
+            pairs = known.join(F.broadcast(asked), like).select("asked", "word")
+        else:
+            # A word becomes hundreds of rows: as many tasks as there are, however few bytes the words have.
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            left = known.where(F.col("length") <= LONG).repartition(tasks, "word").select("word", "length", F.explode(deletions(F.col("word"), most)).alias("left")).select("word", "length", F.xxhash64("left").alias("hash"))
+            probes = asked.where(F.col("asked_length") <= LONG + most).select("asked", "asked_length", F.explode(deletions(F.col("asked"), most)).alias("left")).select("asked", "asked_length", F.xxhash64("left").alias("hash"))
+            short = left.join(probes, "hash").where(F.abs(F.col("length") - F.col("asked_length")) <= most).select("asked", "word").distinct()
+            spelt = known.where(F.col("length") > LONG).join(asked.where(F.col("asked_length") > LONG - most), like).select("asked", "word")
+            pairs = short.unionByName(spelt)
         return pairs.withColumn("distance", bounded_distance(most)("asked", "word")).where(F.col("distance") <= most)
 
     def texts_of(self, words: DataFrame) -> DataFrame:
