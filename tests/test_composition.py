@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colophon.operators import composition as C
@@ -83,3 +84,42 @@ def test_without_profiles_only_anchors_decide(spark):
     lines = spark.createDataFrame([(1, 0, "日本 カムイ house"), (2, 0, "")], "doc_id int, line_no int, text string")
     none = spark.createDataFrame([], "channel string, lang string, gram string, cnt long")
     assert {(r["doc_id"], r["lang"], r["chars"]) for r in C.language_composition(lines, none).collect()} == {(1, "jpn", 5), (1, "und", 5)}
+
+
+def test_runs_of_odd_lines(spark):
+    odd = ["İstanbul Ärger-Maß a-b--c 'x' l’eau=x-", "ㇷ゚ カ゛ ヴァイオリン ゙ガ ーー バ\nパー", None, "", "ﾊﾞｽ ｌａｔｉｎ ﬁn", "-", "x" * 50, "éa ́b", "𝐀𝛀 ア", "a\n\nb"]
+    got = [(r["n"], r["channel"], r["run"]) for r in C.runs_of_lines(spark.createDataFrame(list(enumerate(odd)), "n int, text string").coalesce(1), ["n"]).collect()]
+    assert sorted(got) == sorted((n, c, r) for n, t in enumerate(odd) for c, found in runs(t)[1].items() for r in found)
+
+
+def test_runs_are_not_shuffled(spark):
+    attested = [("eng", "the house language spirit"), ("jpn", "nihon kotoba カラス")] * 5
+    lines = spark.createDataFrame([(d, n, "the house nihon ガラス 言葉 zz " * 20) for d in range(10) for n in range(3)], "doc_id int, line_no int, text string")
+    learned = C.profiles_of(spark.createDataFrame(attested, "lang string, text string"))
+    found = C.language_composition(lines, learned)
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in x]
+    assert exchanges and all("doc_id" in x for x in exchanges)
+    # A language's words, as its own lines have them, decide for it.
+    lexicon = C.runs_of_lines(spark.createDataFrame([("eng", "house")], "lang string, text string"), ["lang"])
+    assert [tuple(r) for r in lexicon.select("lang", "channel", "run").collect()] == [("eng", "latn", "house")]
+    rows = {(d, n): "house language spirit" for d in range(3) for n in range(2)}
+    guarded = {(r["doc_id"], r["lang"]): r["chars"] for r in C.language_composition(spark.createDataFrame([(d, n, t) for (d, n), t in rows.items()], "doc_id int, line_no int, text string"), learned, lexicon).collect()}
+    profiles = {"latn": defaultdict(Counter), "kana": defaultdict(Counter)}
+    for lang, text in attested:
+        for c, found in runs(text)[1].items():
+            for r in found:
+                profiles[c][lang].update(grams(r))
+    assert guarded == composition([(d, n, t) for (d, n), t in rows.items()], profiles, {("latn", "eng", "house")})
+
+
+def test_slices_hold_every_line_once(spark, monkeypatch):
+    class Held:
+        value = C._classes(spark)
+
+    texts = ["house", None, "", "カムイ kamuy itak", "a b", "language-house"] * 7
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    of = lambda parts: [(c, runs_.to_pylist()[k]) for c in C.SHARED for p in parts for _, codes, runs_ in [p.runs(c)] for k in codes]
+    whole = of([*C._slices([batch], Held)])
+    monkeypatch.setattr(C, "SLICE_CHARACTERS", 12)
+    parts = [*C._slices([batch, batch.slice(0, 0)], Held)]
+    assert of(parts) == whole and len(parts) > 7 and sum(p.batch.num_rows for p in parts) == len(texts)
