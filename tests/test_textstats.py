@@ -1,5 +1,8 @@
 """Page numbers, reliability, citations and identity on small tables."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from colophon.operators import identity, textstats
@@ -74,3 +77,18 @@ def test_each_different_word_is_scored_once(spark):
     lines = spark.createDataFrame([(1, 0, "the the xyz"), (1, 1, "xyz"), (2, 0, "le the le"), (3, 0, None)], "doc_id long, line_no int, text string")
     shares = {(r["doc_id"], r["lang"]): (r["chars"], r["share"]) for r in textstats.language_shares(lines, profiles).collect()}
     assert shares == {(1, "en"): (9, 0.75), (1, "und"): (3, 0.25), (2, "en"): (7, 1.0)}
+
+
+def test_pages_are_read_once_and_cut_at_their_edges(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["7", "iv", "a b", " ", "   ", "\n", "\n", "\r\n", "\r", "\t", "\x0b", "\x85", " ", "字"]) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [None, "", "\n \r\n", "x" + " " * 50_000 + "y\n3"]
+    edge = F.col("text")
+    cut = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string").select("n", textstats._lines(textstats._edge(edge)).alias("head"), textstats._lines(F.reverse(textstats._edge(F.reverse(edge)))).alias("foot"))
+    lines = lambda t: [x for x in (y.strip(" \t\n\x0b\f\r") for y in re.split(r"\r?\n", t)) if x]
+    for n, head, foot in cut.collect():
+        assert ((head or []), (foot or [])) == (lines(texts[n] or "")[:3], lines(texts[n] or "")[-3:])
+    rows = [(b, p, f"{p + 4}\nbody") for b in ("b", None) for p in range(1, 12)] + [("b", None, "5\nbody")] * 9
+    found = textstats.page_numbers(spark.createDataFrame(rows, "book string, page long, text string"))
+    assert sorted((r["book"], r["page"], r["value"]) for r in found.collect()) == [("b", p, p + 4) for p in range(1, 12)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
