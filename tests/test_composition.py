@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from colophon.functions import normalise as N
+from colophon.functions.text import compatible
 from colophon.operators import composition as C
 
 KANA, LATN, JPN, CYRL = r"[ァ-ヺヽ-ヿㇰ-ㇿー゙゚゛゜]+", r"[A-Za-zÀ-ÖØ-öø-ɏ]+(?:['’=-][A-Za-zÀ-ÖØ-öø-ɏ]+)*", r"[぀-ゟ㐀-鿿々]", r"[Ѐ-ӿ]"
@@ -90,6 +92,10 @@ def test_runs_of_odd_lines(spark):
     odd = ["İstanbul Ärger-Maß a-b--c 'x' l’eau=x-", "ㇷ゚ カ゛ ヴァイオリン ゙ガ ーー バ\nパー", None, "", "ﾊﾞｽ ｌａｔｉｎ ﬁn", "-", "x" * 50, "éa ́b", "𝐀𝛀 ア", "a\n\nb"]
     got = [(r["n"], r["channel"], r["run"]) for r in C.runs_of_lines(spark.createDataFrame(list(enumerate(odd)), "n int, text string").coalesce(1), ["n"]).collect()]
     assert sorted(got) == sorted((n, c, r) for n, t in enumerate(odd) for c, found in runs(t)[1].items() for r in found)
+    # The same as by patterns.
+    line = compatible(F.coalesce("text", F.lit("")))
+    kana = spark.createDataFrame(list(enumerate(odd)), "n int, text string").select("n", F.explode(N.script_runs(N.unvoiced_kana(line), "kana")).alias("run")).where(r"run rlike '[\\p{IsKatakana}&&[^ー]]'")
+    assert sorted(tuple(r) for r in kana.collect()) == sorted((n, r) for n, c, r in got if c == "kana")
 
 
 def test_runs_are_not_shuffled(spark):
