@@ -60,8 +60,12 @@ class WordDictionary:
         spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{folder}/meta")
         return cls(spark, folder)
 
-    def near(self, words: DataFrame, most: int) -> DataFrame:
-        """(asked, word, distance): the dictionary's words within ``most`` edits of each asked one."""
+    def near(self, words: DataFrame, most: int, free: bool = False) -> DataFrame:
+        """(asked, word, distance): the dictionary's words within ``most`` edits of each asked one.
+
+        By ``free`` a swap stays one edit when characters come or go between the two that it
+        exchanges (theai, etai: 2 edits, else 3).
+        """
         if not 0 <= most <= MOST_EDITS:
             raise ValueError(f"at most {MOST_EDITS} edits")
         asked = words.select("asked").distinct().withColumn("asked_length", F.length("asked"))
@@ -81,7 +85,7 @@ class WordDictionary:
             short = left.join(probes, "hash").where(F.abs(F.col("length") - F.col("asked_length")) <= most).select("asked", "word").distinct()
             spelt = known.where(F.col("length") > LONG).join(asked.where(F.col("asked_length") > LONG - most), like).select("asked", "word")
             pairs = short.unionByName(spelt)
-        return pairs.withColumn("distance", bounded_distance(most)("asked", "word")).where(F.col("distance") <= most)
+        return pairs.withColumn("distance", bounded_distance(most, free)("asked", "word")).where(F.col("distance") <= most)
 
     def texts_of(self, words: DataFrame) -> DataFrame:
         """(word, doc_id) of some words, from their folders."""
@@ -92,11 +96,11 @@ class WordDictionary:
         return known.join(asked.select("word"), "word").select("word", "doc_id")
 
 
-def soft_hits(dictionary: WordDictionary, query: str, tolerance: str = "normal") -> DataFrame:
+def soft_hits(dictionary: WordDictionary, query: str, tolerance: str = "normal", free: bool = False) -> DataFrame:
     """(doc_id, rank, alignments): texts that hold every word of a query, as it is or in another spelling.
 
     A word and each spelling that stands for it (``spelling_alternatives``) may differ from a
-    text's word by as many edits as the tolerance allows. It scores 1 less the fewest edits over
+    text's word by as many edits as the tolerance allows (``free``: as in ``near``). It scores 1 less the fewest edits over
     the longer length of the two words; the best word of a text counts, of equals the first by
     name. ``rank`` is 1 less the mean score; ``alignments`` says for each query word which
     word it met.
@@ -104,7 +108,7 @@ def soft_hits(dictionary: WordDictionary, query: str, tolerance: str = "normal")
     most = TOLERANCES[tolerance]
     words = sorted(set(query_words(query)))
     spellings = dictionary.spark.createDataFrame([(w, a) for w in words for a in spelling_alternatives(w)], "query_word string, asked string")
-    found = dictionary.near(spellings, most).join(spellings, "asked").groupBy("query_word", "word").agg(F.min("distance").alias("distance"))
+    found = dictionary.near(spellings, most, free).join(spellings, "asked").groupBy("query_word", "word").agg(F.min("distance").alias("distance"))
     scored = stored(found.withColumn("score", 1 - F.col("distance") / F.greatest(F.length("query_word"), F.length("word"))), "near")
     met = dictionary.texts_of(scored).join(scored, "word")
     best = met.groupBy("doc_id", "query_word").agg(F.min(F.struct((-F.col("score")).alias("less"), "word")).alias("b"))

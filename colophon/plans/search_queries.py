@@ -90,6 +90,6 @@ m as (select query_word, word, 1 - min(damerau_levenshtein(word, asked)) * 1.0::
 b as (select doc_id, query_word, arg_min(struct_pack(score := round(score, 6), word := word), struct_pack(less := -score, word := word)) as best from t join m using (word) group by all)
 select doc_id, round(1 - sum(best.score) / count(*), 6) as rank, string_agg(query_word || '=' || best.word || ':' || cast(round(best.score * 1000) as int), ' ' order by query_word) as alignments from b group by 1 having count(*) = 2""")
 def soft_search_alternatives(spark, d):
-    hits = Z.soft_hits(Z.WordDictionary.write(I.search_form(table(spark, d, "documents"))), _SOFT, "loose")
+    hits = Z.soft_hits(Z.WordDictionary.write(I.search_form(table(spark, d, "documents"))), _SOFT, "loose", free=True)
     said = F.array_join(F.transform("alignments", lambda a: F.concat(a["query_word"], F.lit("="), a["word"], F.lit(":"), F.round(a["score"] * 1000).cast("int").cast("string"))), " ")
     return hits.select("doc_id", "rank", said.alias("alignments"))

@@ -35,3 +35,8 @@ def test_persons_whose_names_have_no_plain_letter(spark, tmp_path):
     names = ["Èè é", "Ää ä", "Éê è", "Ann Li", "Éé Bo"]
     folder = folder_of(tmp_path, ["\n".join(names[i % 5 :] + names[: i % 5]) for i in range(21)])
     assert difference(QUERIES["persons_of_lines"](spark, folder), SQL["persons_of_lines"], folder) == ""
+
+
+def test_soft_search_when_a_swap_spans_a_lost_or_new_letter(spark, tmp_path):
+    folder = folder_of(tmp_path, ["etai mouday", "hxteai mouday", "theika mouday", "theai omxuday", "htxeai omxudya", "thaei muoday", "theai mouday", None, "etai"])
+    assert difference(QUERIES["soft_search_alternatives"](spark, folder), SQL["soft_search_alternatives"], folder) == ""
