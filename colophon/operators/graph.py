@@ -108,22 +108,34 @@ def work_relations(works: DataFrame, most: int = 30, least_key: int = 5) -> Data
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): every end of edges (a, b) with the smallest end that edges reach.
 
-    Each round gives a node the smallest label among its neighbours and then that
-    label's own, so labels travel twice as far every round.
+    Each round joins a node to the first of its neighbours and itself, in an order of the
+    round's own that a hash gives, and goes on with the edges between what is joined. So a part
+    of the nodes goes every round, however ends are named and chains are laid, and rounds get shorter.
     """
+    spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct()
-    kept = Stored(edges.sparkSession, "labels")
-    links = _stored(both, "links")
-    labels = kept.keep(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        near = links.join(labels, links.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        met = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = met.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = kept.keep(met.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        kept.drop(but=2)
-        if moved.where("old <> component").isEmpty():
-            return moved.select("node", "component")
-        labels = moved.select("node", "component")
+    kept, joined = Stored(spark, "links"), Stored(spark, "joined")
+    links, steps = kept.keep(both), []
+    while not steps or not links.isEmpty():
+        order = lambda c, n=len(steps): F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("h"), F.col(c).alias("to"))
+        first = links.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", order("a"))["to"].alias("to"))
+        steps.append(joined.keep(first))
+        of = lambda c: steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        left = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct()
+        links = kept.keep(left)
+        kept.drop()
+    labels = Stored(spark, "labels")
+    whole = steps.pop()
+    while steps:
+        further = whole.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        whole = labels.keep(steps.pop().join(further, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+        labels.drop()
+    least = whole.groupBy("to").agg(F.min("node").alias("component"))
+    found = labels.keep(whole.join(least, "to").select("node", "component"))
+    for tables in (kept, joined):
+        tables.drop(but=0)
+    labels.drop()
+    return found
 
 
 def reconcile(asserted: DataFrame, live: DataFrame, keys: list[str], most_withdrawn: float = 0.34) -> DataFrame:

@@ -104,9 +104,10 @@ def persons(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     with several persons the smallest counts. Null and blank names are left out; names of an alias
     never link others to one another.
 
-    Each different name is looked at once, by equi-joins on forms and keys alone.
+    Each different name is parsed once, and looked at once, by equi-joins on forms and keys alone.
     """
-    names = mentions.select("raw").where("raw is not null and trim(raw) <> ''").distinct().withColumn("p", parsed(F.col("raw"))).select("raw", "p.name", "p.reading")
+    raws = stored(mentions.select("raw").where("raw is not null and trim(raw) <> ''").distinct(), "raws")
+    names = stored(raws.withColumn("p", parsed(F.col("raw"))).select("raw", "p.name", "p.reading"), "names")
     tagged = lambda of, rank: F.transform(candidate_forms(of), lambda f, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), f.alias("form")))
     forms = names.select("raw", F.explode(F.concat(tagged(F.trim("raw"), 0), tagged(F.col("name"), 1))).alias("f")).select("raw", "f.rank", "f.i", "f.form")
     both = lambda df, *kept: df.withColumn("fold", folded_form(F.col("form"))).select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("folded"), F.col("form").alias("key")), F.struct(F.lit(1).alias("folded"), F.col("fold").alias("key")))).alias("k")).select(*kept, "k.folded", "k.key")

@@ -1,9 +1,12 @@
 """Parsed names, aliases and clusters of persons."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from colophon.operators import persons as P
+from colophon.operators.graph import connected
 
 
 @pytest.mark.parametrize(
@@ -54,3 +57,28 @@ def test_keys_of_several_aliased_persons_choose_none(spark):
 
 def test_no_names_and_no_aliases(spark):
     assert persons(spark, [], [("a", "b")]) == {} and persons(spark, ["A B"], [])["A B"] == ("r:a b", "keys")
+
+
+def test_a_name_is_parsed_in_one_table_alone(spark, monkeypatch):
+    plans = {}
+    kept = P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), kept(df, name))[1])
+    mentions = spark.createDataFrame([("Smith, Ann",), ("Ann Smith",), (None,), (" ",)], "raw string")
+    found = P.persons(mentions, spark.createDataFrame([], "form string, person string"))
+    assert {(r["raw"], r["name"]) for r in found.collect()} == {("Smith, Ann", "Ann Smith"), ("Ann Smith", "Ann Smith")}
+    parsing = [name for name, plan in plans.items() if "eds)\\b\\.?" in plan]
+    assert parsing == ["names"]
+
+
+def test_components_of_chains_hubs_and_loops(spark):
+    rng = random.Random(3)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)]
+    hub = [("h", f"x{i}") for i in range(40)]
+    some = [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(45)]
+    edges = chain + hub + some + [("alone", "alone"), (None, "z"), ("z", None)]
+    at = {n: n for e in edges if None not in e for n in e}
+    for _ in at:
+        for a, b in edges:
+            if a is not None and b is not None:
+                at[a] = at[b] = min(at[a], at[b])
+    assert {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "a string, b string")).collect()} == at
